@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import floor_div, squared_distance, unit_hash
 from ..plans import cells as C
-from ..session import materialize
 from .messages import BY
 
 # a cell and half of its ring, so that each pair of cells comes up once
@@ -54,42 +53,14 @@ def _cell_distance(level: int) -> tuple[Column, Column]:
     return (dx + 1) * (dx + 1) + (dy + 1) * (dy + 1) < reach, nx * nx + ny * ny > reach
 
 
-def _refine(
-    points: DataFrame, by: list[str], whole: bool, max_level: int
-) -> Iterator[tuple[int, DataFrame | None, DataFrame]]:
-    """Per level: (level, cell pairs that are close as a whole, points to compare).
-
-    ``points`` has u, v in units of 2r and a weight w.  With ``whole=False``
-    close cells are split as well, until each pair of cells is small.
-    """
+def _refine(points: DataFrame, by: list[str], whole: bool, max_level: int) -> Iterator[tuple]:
+    """``cells.refine`` from neighbouring cells of side 2r; one join if none is crowded."""
     sizes = C.cell_sizes(points, 0, by)
     if C.largest_cell(sizes) ** 2 <= C.PAIR_BUDGET:
         yield 0, None, C.nearby_points(points, _HALF_RING, by)
         return
     pairs = C.neighbour_pairs(sizes, _HALF_RING, by)
-    for level in range(max_level + 1):
-        pairs = materialize(pairs)
-        all_close, none_close = _cell_distance(level)
-        settled = all_close if whole else F.lit(False)
-        unsettled = pairs.where(~settled & ~none_close)
-        last = level == max_level
-        direct = unsettled if last else unsettled.where(C.few_pairs())
-        yield (
-            level,
-            pairs.where(settled) if whole and level > 0 else None,
-            C.point_pairs(points, direct, level, by),
-        )
-        rest = unsettled.where(~C.few_pairs())
-        if last or rest.isEmpty():
-            return
-        children = C.split_pairs(rest, C.cell_sizes(points, level + 1, by), by)
-        # a cell paired with itself yields each pair of its quarters twice
-        one_parent = (F.shiftright("px", 1) == F.shiftright("qx", 1)) & (
-            F.shiftright("py", 1) == F.shiftright("qy", 1)
-        )
-        pairs = children.where(
-            ~one_parent | (F.struct("px", "py") <= F.struct("qx", "qy"))
-        )
+    yield from C.refine(points, by, pairs, _cell_distance, whole, False, max_level)
 
 
 def count_close_pairs(points: DataFrame, r: float, by: Sequence[str]) -> DataFrame:

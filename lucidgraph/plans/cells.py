@@ -9,11 +9,13 @@ lists the pairs of an unbounded group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # two cells are compared point by point once the product of their sizes is this low
 PAIR_BUDGET = 4096
 # beyond this level the cells of distinct doubles no longer shrink usefully
@@ -159,3 +161,42 @@ def point_pairs(
         .join(side("p"), [*by, "px", "py"])
         .join(side("q"), [*by, "qx", "qy"])
     )
+
+
+def refine(
+    points: DataFrame,
+    by: Sequence[str],
+    pairs: DataFrame,
+    classify: Callable[[int], tuple[Column, Column]],
+    whole: bool,
+    ordered: bool,
+    max_level: int = MAX_LEVEL,
+) -> Iterator[tuple[int, DataFrame | None, DataFrame]]:
+    """Work off pairs of cells level by level, starting from ``pairs`` at level 0.
+
+    ``classify(level)`` gives two conditions on a pair: every pair of points
+    belongs to the result, or none does.  Yields (level, pairs of cells taken
+    as a whole, point pairs to test).  With ``whole=False`` nothing is taken as
+    a whole: pairs are split until they are small, so that the point pairs
+    spread evenly.  With ``ordered=False`` (p, q) and (q, p) are one pair.
+    Only tables of cells are written between levels, never of point pairs.
+    """
+    by = list(by)
+    for level in range(max_level + 1):
+        pairs = materialize(pairs)
+        every, none = classify(level)
+        settled = every if whole else F.lit(False)
+        unsettled = pairs.where(~settled & ~none)
+        last = level == max_level
+        direct = unsettled if last else unsettled.where(few_pairs())
+        yield level, pairs.where(settled) if whole else None, point_pairs(points, direct, level, by)
+        rest = unsettled.where(~few_pairs())
+        if last or rest.isEmpty():
+            return
+        pairs = split_pairs(rest, cell_sizes(points, level + 1, by), by)
+        if not ordered:
+            # a cell paired with itself yields each pair of its quarters twice
+            one_parent = (F.shiftright("px", 1) == F.shiftright("qx", 1)) & (
+                F.shiftright("py", 1) == F.shiftright("qy", 1)
+            )
+            pairs = pairs.where(~one_parent | (F.struct("px", "py") <= F.struct("qx", "qy")))

@@ -171,8 +171,9 @@ def refine(
     whole: bool,
     ordered: bool,
     max_level: int = MAX_LEVEL,
+    start: int = 0,
 ) -> Iterator[tuple[int, DataFrame | None, DataFrame]]:
-    """Work off pairs of cells level by level, starting from ``pairs`` at level 0.
+    """Work off pairs of cells level by level, starting from ``pairs`` at level ``start``.
 
     ``classify(level)`` gives two conditions on a pair: every pair of points
     belongs to the result, or none does.  Yields (level, pairs of cells taken
@@ -182,7 +183,7 @@ def refine(
     Only tables of cells are written between levels, never of point pairs.
     """
     by = list(by)
-    for level in range(max_level + 1):
+    for level in range(start, max_level + 1):
         pairs = materialize(pairs)
         every, none = classify(level)
         settled = every if whole else F.lit(False)

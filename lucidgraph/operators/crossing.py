@@ -160,7 +160,9 @@ def crossing_pairs(
 
     start = C.neighbour_pairs(C.cell_sizes(points, 0, key), [(0, 0)], key)
     found = [
-        direct.where((F.col("p_ly") < F.col("q_ly")) & (F.col("p_ry") > F.col("q_ry"))).select(
+        C.point_pairs(points, direct, level, key)
+        .where((F.col("p_ly") < F.col("q_ly")) & (F.col("p_ry") > F.col("q_ry")))
+        .select(
             *key,
             F.col("p_src").alias("a_src"),
             F.col("p_dst").alias("a_dst"),
@@ -168,7 +170,7 @@ def crossing_pairs(
             F.col("q_dst").alias("b_dst"),
             acute_angle(F.col("p_theta"), F.col("q_theta")).alias("theta"),
         )
-        for _, _, direct in C.refine(points, key, start, classify, False, True)
+        for level, _, direct in C.refine(points, key, start, classify, False, True)
     ]
     return functools.reduce(DataFrame.unionByName, found)
 

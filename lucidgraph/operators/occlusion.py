@@ -54,13 +54,16 @@ def _cell_distance(level: int) -> tuple[Column, Column]:
 
 
 def _refine(points: DataFrame, by: list[str], whole: bool, max_level: int) -> Iterator[tuple]:
-    """``cells.refine`` from neighbouring cells of side 2r; one join if none is crowded."""
+    """``cells.refine`` from neighbouring cells of side 2r, with the pairs of points
+    to compare; a single join if no cell is crowded."""
     sizes = C.cell_sizes(points, 0, by)
     if C.largest_cell(sizes) ** 2 <= C.PAIR_BUDGET:
         yield 0, None, C.nearby_points(points, _HALF_RING, by)
         return
     pairs = C.neighbour_pairs(sizes, _HALF_RING, by)
-    yield from C.refine(points, by, pairs, _cell_distance, whole, False, max_level)
+    plan = C.refine(points, by, pairs, _cell_distance, whole, False, max_level)
+    for level, settled, direct in plan:
+        yield level, settled, C.point_pairs(points, direct, level, by)
 
 
 def count_close_pairs(points: DataFrame, r: float, by: Sequence[str]) -> DataFrame:

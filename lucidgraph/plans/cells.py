@@ -177,7 +177,7 @@ def refine(
 
     ``classify(level)`` gives two conditions on a pair: every pair of points
     belongs to the result, or none does.  Yields (level, pairs of cells taken
-    as a whole, point pairs to test).  With ``whole=False`` nothing is taken as
+    as a whole, pairs of cells whose points are to be compared).  With ``whole=False`` nothing is taken as
     a whole: pairs are split until they are small, so that the point pairs
     spread evenly.  With ``ordered=False`` (p, q) and (q, p) are one pair.
     Only tables of cells are written between levels, never of point pairs.
@@ -190,7 +190,7 @@ def refine(
         unsettled = pairs.where(~settled & ~none)
         last = level == max_level
         direct = unsettled if last else unsettled.where(few_pairs())
-        yield level, pairs.where(settled) if whole else None, point_pairs(points, direct, level, by)
+        yield level, pairs.where(settled) if whole else None, direct
         rest = unsettled.where(~few_pairs())
         if last or rest.isEmpty():
             return

@@ -23,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import cells as C
-from .dominance import key_fields
+from .dominance import key_fields, largest_group
 
 ORDER = 44
 # the first level whose cells are paired with all others: at most 64 per layout
 START_LEVEL = 3
+# layouts up to this many spots are summed plainly, one layout per group
+DIRECT_SPOTS = 8192
 _TERMS = [f"c{i}" for i in range(2 * ORDER)]
 _DOUBLES = ", ".join(f"{c} double" for c in _TERMS)
 
@@ -143,9 +146,9 @@ def _local_expansions(far: DataFrame, moments: DataFrame, by: list[str]) -> Data
     )
 
 
-def _evaluate(points: DataFrame, local: DataFrame, by: list[str], levels: list[int]) -> DataFrame:
-    """The distant field at each point, one row per level it gets a share from."""
-    cells = F.array(
+def _cells_of(levels: list[int]):
+    """The cell of a point at each level, as an array of structs."""
+    return F.array(
         *[
             F.struct(
                 F.lit(level).alias("level"),
@@ -156,6 +159,47 @@ def _evaluate(points: DataFrame, local: DataFrame, by: list[str], levels: list[i
         ]
     )
 
+
+def _near_sums(points: DataFrame, near: DataFrame, by: list[str], levels: list[int]) -> DataFrame:
+    """Plain sums over adjacent cells.
+
+    The points of a cell meet copies of the points of its neighbours, at most
+    nine cells whose sizes the pair budget bounds.
+    """
+    key = [*by, "level", "px", "py"]
+    names = [*by, "x", "y", "fx", "fy"]
+    located = points.select("*", F.inline(_cells_of(levels)))
+    sources = near.join(
+        located.select(
+            *by, "level", F.col("cx").alias("qx"), F.col("cy").alias("qy"), "x", "y", "w"
+        ),
+        [*by, "level", "qx", "qy"],
+    ).select(*key, "x", "y", "w")
+    cells = near.select(*key).distinct()
+    targets = located.select(
+        *by, "level", F.col("cx").alias("px"), F.col("cy").alias("py"), "x", "y"
+    ).join(cells, key)
+    rows = targets.select(*key, "x", "y", F.lit(0).cast("bigint").alias("w")).unionByName(sources)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        z = table.column("x").to_numpy() + 1j * table.column("y").to_numpy()
+        w = table.column("w").to_numpy()
+        target = np.flatnonzero(w == 0)
+        source = np.flatnonzero(w > 0)
+        total = np.zeros(len(target), dtype=complex)
+        for begin in range(0, len(target), 256):
+            block = z[target[begin : begin + 256], None] - z[None, source]
+            block[block == 0] = np.inf
+            total[begin : begin + 256] = np.reciprocal(block) @ w[source].astype(float)
+        columns = [table.column(c).take(pa.array(target)) for c in names[:-2]]
+        return pa.table([*columns, pa.array(total.real), pa.array(-total.imag)], names=names)
+
+    schema = f"{key_fields(points, by)}, x double, y double, fx double, fy double"
+    return rows.groupBy(*key).applyInArrow(add_up, schema)
+
+
+def _evaluate(points: DataFrame, local: DataFrame, by: list[str], levels: list[int]) -> DataFrame:
+    """The distant field at each point, one row per level it gets a share from."""
     def field(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -175,19 +219,48 @@ def _evaluate(points: DataFrame, local: DataFrame, by: list[str], levels: list[i
 
     schema = f"{key_fields(points, by)}, x double, y double, fx double, fy double"
     return (
-        points.select("*", F.inline(cells))
+        points.select("*", F.inline(_cells_of(levels)))
         .join(local, [*by, "level", "cx", "cy"])
         .select(*by, "x", "y", "u", "v", "side", "level", *_TERMS)
         .mapInArrow(field, schema)
     )
 
 
-def inverse_sums(spots: DataFrame, by: Sequence[str]) -> DataFrame:
+def _plain_sums(spots: DataFrame, by: list[str]) -> DataFrame:
+    """The sums of small layouts, a block of targets at a time."""
+    names = [*by, "x", "y", "fx", "fy"]
+
+    def add_up(table: pa.Table) -> pa.Table:
+        z = table.column("x").to_numpy() + 1j * table.column("y").to_numpy()
+        w = table.column("w").to_numpy().astype(float)
+        total = np.empty(len(z), dtype=complex)
+        for begin in range(0, len(z), 256):
+            block = z[begin : begin + 256, None] - z[None, :]
+            block[np.arange(len(block)), np.arange(begin, begin + len(block))] = np.inf
+            total[begin : begin + 256] = np.reciprocal(block) @ w
+        columns = [table.column(c) for c in names[:-2]]
+        return pa.table([*columns, pa.array(total.real), pa.array(-total.imag)], names=names)
+
+    schema = f"{key_fields(spots, by)}, x double, y double, fx double, fy double"
+    return spots.groupBy(*by).applyInArrow(add_up, schema)
+
+
+def inverse_sums(
+    spots: DataFrame, by: Sequence[str], direct_spots: int = DIRECT_SPOTS
+) -> DataFrame:
     """``by, x, y, fx, fy``: sum of w' (p - p') / |p - p'|^2 over the other spots.
 
     ``spots`` are distinct positions ``by, x, y`` with a weight ``w``.
     """
     by = list(by)
+    # read many times below: by the cells of each level, and by every expansion
+    spots = materialize(spots.select(*by, "x", "y", "w"))
+    if largest_group(spots, by)[0] <= direct_spots:
+        return _plain_sums(spots, by)
+    return _expanded_sums(spots, by)
+
+
+def _expanded_sums(spots: DataFrame, by: list[str]) -> DataFrame:
     width, height = F.max("x") - F.min("x"), F.max("y") - F.min("y")
     frame = spots.groupBy(*by).agg(
         F.min("x").alias("x0"),
@@ -205,6 +278,7 @@ def inverse_sums(spots: DataFrame, by: Sequence[str]) -> DataFrame:
         )
         .select(*by, "x", "y", "w", "u", "v", "side")
     )
+    points = materialize(points)
     top = C.cell_sizes(points, START_LEVEL, by)
     reach = range(-(2**START_LEVEL) + 1, 2**START_LEVEL)
     start = C.neighbour_pairs(top, [(dx, dy) for dx in reach for dy in reach], by)
@@ -215,27 +289,20 @@ def inverse_sums(spots: DataFrame, by: Sequence[str]) -> DataFrame:
         )
         return apart > 1, F.lit(False)
 
-    levels, far, parts = [], [], []
-    plan = C.refine(points, by, start, classify, True, True, start=START_LEVEL)
-    for level, distant, direct in plan:
+    levels, far, near = [], [], []
+    for level, distant, direct in C.refine(
+        points, by, start, classify, True, True, start=START_LEVEL
+    ):
         levels.append(level)
-        far.append(distant.select(*by, F.lit(level).alias("level"), "px", "py", "qx", "qy"))
-        dx, dy = F.col("p_x") - F.col("q_x"), F.col("p_y") - F.col("q_y")
-        d2 = dx * dx + dy * dy
-        parts.append(
-            direct.where((dx != 0) | (dy != 0)).select(
-                *by,
-                F.col("p_x").alias("x"),
-                F.col("p_y").alias("y"),
-                (F.col("q_w") * dx / d2).alias("fx"),
-                (F.col("q_w") * dy / d2).alias("fy"),
-            )
-        )
+        pair = [*by, F.lit(level).alias("level"), "px", "py", "qx", "qy"]
+        far.append(distant.select(*pair))
+        near.append(direct.select(*pair))
     moments = _expansions(points, by, levels)
     local = _local_expansions(functools.reduce(DataFrame.unionByName, far), moments, by)
-    parts.append(_evaluate(points, local, by, levels))
+    adjacent = functools.reduce(DataFrame.unionByName, near)
     return (
-        functools.reduce(DataFrame.unionByName, parts)
+        _evaluate(points, local, by, levels)
+        .unionByName(_near_sums(points, adjacent, by, levels))
         .groupBy(*by, "x", "y")
         .agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
     )

@@ -1,87 +1,128 @@
-"""Counting inverted pairs of one bounded chunk, in numpy."""
+"""Counting inverted pairs of one bounded chunk, in numpy.
+
+Rows are laid out in their first order and given their rank in the second; a
+pair is inverted if the earlier row has the higher rank.  Two ranks differ in a
+unique highest bit, so one pass per bit over the rows, kept in first order
+inside groups of equal higher bits, meets each inverted pair once: the earlier
+row has the bit, the later one has not.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 
+def ranks_of(order: np.ndarray) -> np.ndarray:
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return rank
+
+
+def _running(values: np.ndarray, dtype) -> np.ndarray:
+    out = np.zeros(len(values) + 1, dtype=dtype)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
+class _Passes:
+    """The passes over a permutation, highest bit first.
+
+    Each pass sets ``low`` (rows without the bit), ``start`` (where the group
+    of a row begins) and ``before`` (rows of the group with the bit so far).
+    """
+
+    def __init__(self, rank: np.ndarray):
+        self.n = len(rank)
+        self.ranks = rank.astype(np.int32)
+        self.here = np.arange(self.n, dtype=np.int32)
+
+    def __iter__(self):
+        for bit in range(max(self.n - 1, 0).bit_length() - 1, -1, -1):
+            high = (self.ranks >> bit) & 1
+            self.bit = bit
+            self.low = high == 0
+            self.start = (self.ranks >> (bit + 1)) << (bit + 1)
+            running = _running(high, np.int32)
+            self.before = running[:-1] - running[self.start]
+            yield self
+
+    def split(self, *arrays: np.ndarray) -> list[np.ndarray]:
+        """Stable split of every group into its low and its high half."""
+        target = np.where(
+            self.low,
+            self.here - self.before,
+            np.minimum(self.start + (1 << self.bit), self.n) + self.before,
+        )
+        moved = []
+        for values in (self.ranks, *arrays):
+            out = np.empty_like(values)
+            out[target] = values
+            moved.append(out)
+        self.ranks = moved[0]
+        return moved[1:]
+
+
+def count_inversions(rank: np.ndarray) -> int:
+    """Number of inverted pairs of a permutation."""
+    total = 0
+    passes = _Passes(rank)
+    for step in passes:
+        total += int(step.before[step.low].sum(dtype=np.int64))
+        step.split()
+    return total
+
+
+def inversion_weights(rank, wa, wb) -> tuple[np.ndarray, np.ndarray]:
+    """Per row: (sum of wb over its inverted later rows, sum of wa over earlier ones)."""
+    n = len(rank)
+    small = wa.dtype.kind in "iu" and max(int(wa.sum()), int(wb.sum())) < 2**31
+    work = np.int32 if small else np.result_type(wa.dtype, wb.dtype, np.int64)
+    wa, wb = wa.astype(work), wb.astype(work)
+    later = np.zeros(n, dtype=work)
+    earlier = np.zeros(n, dtype=work)
+    rows = np.arange(n, dtype=np.int32)
+    passes = _Passes(rank)
+    for step in passes:
+        low, start = step.low, step.start
+        seen_a = _running(np.where(low, 0, wa), work)
+        seen_b = _running(np.where(low, wb, 0), work)
+        end = np.minimum(start + (2 << step.bit), n)
+        earlier += np.where(low, seen_a[:-1] - seen_a[start], 0)
+        later += np.where(low, 0, seen_b[end] - seen_b[1:])
+        wa, wb, later, earlier, rows = step.split(wa, wb, later, earlier, rows)
+    out_later, out_earlier = np.empty_like(later), np.empty_like(earlier)
+    out_later[rows], out_earlier[rows] = later, earlier
+    return out_later, out_earlier
+
+
 def inverted_pairs(first, second, wa, wb, sa=None, sb=None, group=None, groups=1):
     """Totals over pairs (a, b): a before b by ``first``, after b by ``second``.
 
-    ``first`` and ``second`` are tuples of arrays, most significant first; both
+    ``first`` and ``second`` are lists of arrays, most significant first; both
     comparisons are strict.  Returns ``sum(wa*wb)`` and, if ``sa``/``sb`` are
     given, ``sum(sa*wb)`` and ``sum(wa*sb)``; each an array over the ``groups``
     that ``group`` numbers (pairs never span groups when the group leads both
     orders).
-
-    Rows are put in ``first`` order and given their rank by ``second``.  Two
-    ranks differ in a unique highest bit, so one pass per bit over the rows,
-    kept in ``first`` order inside groups of equal higher bits, meets each
-    inverted pair once: the earlier row has the bit, the later one has not.
     """
-    n = len(wa)
+    first, second = list(first), list(second)
     # ties in one order are laid out by the other, and so never look inverted
-    order = np.lexsort(tuple(reversed((*first, *second))))
-    by_second = np.lexsort(tuple(k[order] for k in reversed(second)))
-    ranks = np.empty(n, dtype=np.int32)
-    ranks[by_second] = np.arange(n, dtype=np.int32)
-
-    weighted = sa is not None or bool((np.asarray(wa) != 1).any() or (np.asarray(wb) != 1).any())
-    attributes = {}
-    if weighted:
-        attributes = {"wa": wa, "wb": wb}
-    if sa is not None:
-        attributes.update(sa=sa, sb=sb)
-    if group is not None:
-        attributes["group"] = group
-    attributes = {k: np.asarray(v)[order] for k, v in attributes.items()}
-
-    integral = not weighted or all(np.asarray(w).dtype.kind in "iu" for w in (wa, wb))
-    count = np.zeros(groups, dtype=np.int64 if integral else np.float64)
-    total_a, total_b = np.zeros(groups), np.zeros(groups)
-
-    def add(target, values, at):
-        if group is None:
-            target[0] += values.sum()
-        else:
-            target += np.bincount(at, weights=values, minlength=groups).astype(target.dtype)
+    known = {id(k) for k in first}
+    order = np.lexsort([*first, *(k for k in second if id(k) not in known)][::-1])
+    rank = ranks_of(np.lexsort([k[order] for k in second][::-1]))
+    wa, wb = np.asarray(wa)[order], np.asarray(wb)[order]
+    if group is None and sa is None and (wa == 1).all() and (wb == 1).all():
+        return np.array([count_inversions(rank)]), np.zeros(1), np.zeros(1)
+    later, earlier = inversion_weights(rank, wa, wb)
+    at = None if group is None else np.asarray(group)[order]
 
-    rows = np.arange(n, dtype=np.int32)
-    here = np.arange(n, dtype=np.int32)
-    for bit in range(max(n - 1, 0).bit_length() - 1, -1, -1):
-        high = (ranks >> bit) & 1
-        start = (ranks >> (bit + 1)) << (bit + 1)
-        low = high == 0
-        ones = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(high, out=ones[1:])
-        ones_before = ones[:-1] - ones[start]
-
-        if attributes:
-            at = {k: v[rows] for k, v in attributes.items()}
-            low_group = at["group"][low] if group is not None else None
-        else:
-            at, low_group = {}, None
-        if not weighted:
-            add(count, ones_before[low].astype(np.int64), low_group)
-        else:
-
-            def seen_before(values):
-                running = np.concatenate(([0], np.cumsum(values * high)))
-                return (running[:-1] - running[start])[low]
-
-            weight = seen_before(at["wa"])
-            add(count, at["wb"][low] * weight, low_group)
-            if sa is not None:
-                add(total_a, at["wb"][low] * seen_before(at["sa"]), low_group)
-                add(total_b, at["sb"][low] * weight, low_group)
-
-        # stable split of every group into its low and its high half
-        target = np.where(low, here - ones_before, np.minimum(start + (1 << bit), n) + ones_before)
-        moved = np.empty(n, dtype=np.int32)
-        moved[target] = ranks
-        ranks = moved
-        if attributes:
-            moved = np.empty(n, dtype=np.int32)
-            moved[target] = rows
-            rows = moved
-    return count, total_a, total_b
+    def total(values):
+        if at is None:
+            return np.array([values.sum()])
+        return np.bincount(at, weights=values, minlength=groups)
+
+    count = total(wb * earlier.astype(np.result_type(wb.dtype, np.int64)))
+    if wa.dtype.kind in "iu":
+        count = np.rint(count).astype(np.int64)
+    if sa is None:
+        return count, np.zeros(groups), np.zeros(groups)
+    return count, total(np.asarray(sa)[order] * later), total(np.asarray(sb)[order] * earlier)

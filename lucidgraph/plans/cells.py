@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 # two cells are compared point by point once the product of their sizes is this low
-PAIR_BUDGET = 4096
+PAIR_BUDGET = 16_384
 # beyond this level the cells of distinct doubles no longer shrink usefully
 MAX_LEVEL = 48
 

@@ -16,6 +16,7 @@ into one weighted row before the cut.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -41,9 +42,11 @@ def _numpy(table: pa.Table, names: Sequence[str]) -> tuple:
 
 def _totals(table: pa.Table, first, second, sums: bool, lead=(), group=None, groups=1):
     attributes = ["wa", "wb", "sa", "sb"] if sums else ["wa", "wb"]
+    # one array per column: inverted_pairs tells shared columns by identity
+    keys = {c: table.column(c).to_numpy() for c in dict.fromkeys([*first, *second])}
     return inverted_pairs(
-        (*lead, *_numpy(table, first)),
-        (*lead, *_numpy(table, second)),
+        [*lead, *(keys[c] for c in first)],
+        [*lead, *(keys[c] for c in second)],
         *_numpy(table, attributes),
         **({} if sums else {"sa": None, "sb": None}),
         group=group,
@@ -98,28 +101,31 @@ def _chunked(rows, key, first, second, sums, total, max_rows, chunk_rows) -> Dat
     weights = ["wa", "wb", "sa", "sb"] if sums else ["wa", "wb"]
     folded = [F.sum(c).alias(c) for c in weights]
     order = list(dict.fromkeys([*first, *second]))
-    chunks = max(2, -(-total // chunk_rows))
+    # chunk numbers may be the order of this call already, one level up
+    one, two = f"{first[0]}_chunk", f"{second[0]}_chunk"
+    # few enough that their intersections are far fewer than the rows
+    chunks = max(2, min(-(-total // chunk_rows), math.isqrt(total) // 4))
     # both cuts are written down: the counts below must agree on the chunks
     by_first = materialize(
         rows.groupBy(*key, *order)
         .agg(*folded)
         .repartitionByRange(chunks, *key, *first)
-        .withColumn("first_chunk", F.spark_partition_id())
+        .withColumn(one, F.spark_partition_id())
     )
     by_second = materialize(
         by_first.repartitionByRange(chunks, *key, *second).withColumn(
-            "second_chunk", F.spark_partition_id()
+            two, F.spark_partition_id()
         )
     )
-    crossings = by_second.groupBy(*key, "first_chunk", "second_chunk").agg(*folded)
+    crossings = by_second.groupBy(*key, one, two).agg(*folded)
     parts = [
         _per_partition(by_first, key, first, second, sums),
-        _per_partition(by_second, key, ["first_chunk"], second, sums),
+        _per_partition(by_second, key, [one], second, sums),
         inverted_totals(
             materialize(crossings),
             key,
-            ["first_chunk"],
-            ["second_chunk"],
+            [one],
+            [two],
             sums,
             max_rows=max_rows,
             chunk_rows=chunk_rows,

@@ -47,7 +47,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{CPUS}]")
         .appName("bench")
         .config("spark.driver.memory", "20g")
-        .config("spark.sql.shuffle.partitions", str(8 * int(CPUS)))
+        .config("spark.sql.shuffle.partitions", str(4 * int(CPUS)))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -30,10 +30,10 @@ def _close(r: float) -> Column:
     return squared_distance(*[F.col(c) for c in ("p_x", "p_y", "q_x", "q_y")]) < limit
 
 
-def _once(first: Column, second: Column) -> Column:
+def _once(earlier: Column) -> Column:
     """Inside a cell paired with itself, keep each pair of points once."""
     same_cell = (F.col("px") == F.col("qx")) & (F.col("py") == F.col("qy"))
-    return ~same_cell | (first < second)
+    return ~same_cell | earlier
 
 
 def _scaled(points: DataFrame, r: float) -> DataFrame:
@@ -77,7 +77,8 @@ def count_close_pairs(points: DataFrame, r: float, by: Sequence[str]) -> DataFra
     spots = _scaled(points.groupBy(*by, "x", "y").agg(F.count("*").alias("w")), r)
     parts = [spots.select(*by, F.expr("w * (w - 1) div 2").alias("n"))]
     same_cell = (F.col("px") == F.col("qx")) & (F.col("py") == F.col("qy"))
-    spot_order = _once(F.struct("p_x", "p_y"), F.struct("q_x", "q_y"))
+    x1, y1, x2, y2 = (F.col(c) for c in ("p_x", "p_y", "q_x", "q_y"))
+    spot_order = _once((x1 < x2) | ((x1 == x2) & (y1 < y2)))
     for level, whole, direct in _refine(spots, by, True, C.MAX_LEVEL):
         if whole is not None:
             parts.append(
@@ -111,7 +112,7 @@ def _close_id_pairs(points: DataFrame, r: float, by: Sequence[str]) -> DataFrame
     by = list(by)
     placed = _scaled(points.select(*by, "id", "x", "y"), r).withColumn("w", F.lit(1))
     parts = [
-        direct.where(_once(F.col("p_id"), F.col("q_id")) & _close(r)).select(
+        direct.where(_once(F.col("p_id") < F.col("q_id")) & _close(r)).select(
             *by,
             F.least("p_id", "q_id").alias("u"),
             F.greatest("p_id", "q_id").alias("v"),

@@ -100,7 +100,9 @@ def nearby_points(points: DataFrame, offsets, by: Sequence[str]) -> DataFrame:
         .withColumns({"qx": F.col("px") + F.col("dx"), "qy": F.col("py") + F.col("dy")})
         .drop("dx", "dy")
     )
-    return shifted.join(side("q"), [*by, "qx", "qy"])
+    # a row here stands for many pairs: shuffle by cell rather than broadcast, so
+    # that the comparisons spread over all tasks even when the bytes are few
+    return shifted.join(side("q").hint("merge"), [*by, "qx", "qy"])
 
 
 def split_pairs(pairs: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -158,8 +160,8 @@ def point_pairs(
 
     return (
         pairs.select(*by, "px", "py", "qx", "qy")
-        .join(side("p"), [*by, "px", "py"])
-        .join(side("q"), [*by, "qx", "qy"])
+        .join(side("p").hint("merge"), [*by, "px", "py"])
+        .join(side("q").hint("merge"), [*by, "qx", "qy"])
     )
 
 

@@ -130,7 +130,7 @@ def _local_expansions(far: DataFrame, moments: DataFrame, by: list[str]) -> Data
     )
     schema = f"{key_fields(moments, key)}, {_DOUBLES}"
     return (
-        pairs.join(moments, key)
+        pairs.join(moments.hint("merge"), key)
         .select(
             *by,
             "level",
@@ -220,7 +220,7 @@ def _evaluate(points: DataFrame, local: DataFrame, by: list[str], levels: list[i
     schema = f"{key_fields(points, by)}, x double, y double, fx double, fy double"
     return (
         points.select("*", F.inline(_cells_of(levels)))
-        .join(local, [*by, "level", "cx", "cy"])
+        .join(local.hint("merge"), [*by, "level", "cx", "cy"])
         .select(*by, "x", "y", "u", "v", "side", "level", *_TERMS)
         .mapInArrow(field, schema)
     )

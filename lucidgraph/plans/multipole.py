@@ -146,6 +146,20 @@ def _local_expansions(far: DataFrame, moments: DataFrame, by: list[str]) -> Data
     )
 
 
+def _block_sums(tx, ty, sx, sy, w) -> tuple[np.ndarray, np.ndarray]:
+    """Plain sums at the targets over all sources but those in the same place."""
+    fx, fy = np.zeros(len(tx)), np.zeros(len(tx))
+    for begin in range(0, len(tx), 64):
+        rows = slice(begin, begin + 64)
+        dx, dy = tx[rows, None] - sx, ty[rows, None] - sy
+        d2 = dx * dx + dy * dy
+        d2[d2 == 0] = np.inf
+        share = w / d2
+        fx[rows] = np.einsum("ij,ij->i", dx, share)
+        fy[rows] = np.einsum("ij,ij->i", dy, share)
+    return fx, fy
+
+
 def _cells_of(levels: list[int]):
     """The cell of a point at each level, as an array of structs."""
     return F.array(
@@ -182,17 +196,13 @@ def _near_sums(points: DataFrame, near: DataFrame, by: list[str], levels: list[i
     rows = targets.select(*key, "x", "y", F.lit(0).cast("bigint").alias("w")).unionByName(sources)
 
     def add_up(table: pa.Table) -> pa.Table:
-        z = table.column("x").to_numpy() + 1j * table.column("y").to_numpy()
-        w = table.column("w").to_numpy()
-        target = np.flatnonzero(w == 0)
-        source = np.flatnonzero(w > 0)
-        total = np.zeros(len(target), dtype=complex)
-        for begin in range(0, len(target), 256):
-            block = z[target[begin : begin + 256], None] - z[None, source]
-            block[block == 0] = np.inf
-            total[begin : begin + 256] = np.reciprocal(block) @ w[source].astype(float)
+        x, y, w = (table.column(c).to_numpy() for c in ("x", "y", "w"))
+        target, source = np.flatnonzero(w == 0), np.flatnonzero(w > 0)
+        fx, fy = _block_sums(
+            x[target], y[target], x[source], y[source], w[source].astype(float)
+        )
         columns = [table.column(c).take(pa.array(target)) for c in names[:-2]]
-        return pa.table([*columns, pa.array(total.real), pa.array(-total.imag)], names=names)
+        return pa.table([*columns, pa.array(fx), pa.array(fy)], names=names)
 
     schema = f"{key_fields(points, by)}, x double, y double, fx double, fy double"
     return rows.groupBy(*key).applyInArrow(add_up, schema)
@@ -231,18 +241,16 @@ def _plain_sums(spots: DataFrame, by: list[str]) -> DataFrame:
     names = [*by, "x", "y", "fx", "fy"]
 
     def add_up(table: pa.Table) -> pa.Table:
-        z = table.column("x").to_numpy() + 1j * table.column("y").to_numpy()
-        w = table.column("w").to_numpy().astype(float)
-        total = np.empty(len(z), dtype=complex)
-        for begin in range(0, len(z), 256):
-            block = z[begin : begin + 256, None] - z[None, :]
-            block[np.arange(len(block)), np.arange(begin, begin + len(block))] = np.inf
-            total[begin : begin + 256] = np.reciprocal(block) @ w
+        x, y, w = (table.column(c).to_numpy() for c in ("x", "y", "w"))
+        fx, fy = _block_sums(x, y, x, y, w.astype(float))
         columns = [table.column(c) for c in names[:-2]]
-        return pa.table([*columns, pa.array(total.real), pa.array(-total.imag)], names=names)
+        return pa.table([*columns, pa.array(fx), pa.array(fy)], names=names)
 
     schema = f"{key_fields(spots, by)}, x double, y double, fx double, fy double"
-    return spots.groupBy(*by).applyInArrow(add_up, schema)
+    # a fixed number of partitions: the rows are few for the work they make, and
+    # would otherwise be merged into a task or two
+    tasks = 4 * spots.sparkSession.sparkContext.defaultParallelism
+    return spots.repartition(tasks, *by).groupBy(*by).applyInArrow(add_up, schema)
 
 
 def inverse_sums(

@@ -18,9 +18,12 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master("local[4]")
         .appName("tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.default.parallelism", "2")
+        # compiling the stages of hundreds of tiny plans would take most of the time
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -46,6 +49,27 @@ def make(spark):
     return build
 
 
+@pytest.fixture(scope="session")
+def make_many(make, spark):
+    """Several graphs at once: graph i is trial i and has vertices of its own."""
+
+    def build(graphs):
+        pairs = [(f"{i}.{s}", f"{i}.{d}") for i, g in enumerate(graphs) for s, d in g[1]]
+        rows = [
+            (i, f"{i}.{k}", float(x), float(y))
+            for i, g in enumerate(graphs)
+            for k, (x, y) in g[0].items()
+        ]
+        edges, _ = make({"unused": (0, 0)}, pairs)
+        return edges, spark.createDataFrame(rows, "trial int, id string, x double, y double")
+
+    return build
+
+
+def by_trial(df):
+    return [row[-1] for row in sorted(df.collect(), key=lambda r: r.trial)]
+
+
 def value(df):
     """The last column of a one-row result."""
     rows = df.collect()

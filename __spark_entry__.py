@@ -36,6 +36,13 @@ from lucidgraph.sources import (  # noqa: E402
 from lucidgraph.sources import samples  # noqa: E402
 from lucidgraph.streaming import stream_trials  # noqa: E402
 
+try:
+    from lucidgraph.llm import queries as _llm
+except ModuleNotFoundError as missing:  # the folder may be left out
+    if not (missing.name or "").startswith("lucidgraph.llm"):
+        raise
+    _llm = None
+
 _GRAPHS = {
     "trade": samples.trade_edges,
     "purchases": samples.purchase_edges,
@@ -204,7 +211,7 @@ def _of_layout(graph: str, function: Callable, *rounded: str, scale: float = 100
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each callable takes (spark, sf_dir)."""
-    return {
+    return (_llm.QUERIES if _llm else {}) | {
         # sources
         "vertices": lambda s, d: vertices_of(_edges(s, d, "trade")),
         "edges_from_table": lambda s, d: _edges(s, d, "trade"),
@@ -585,7 +592,7 @@ def oracle_sql() -> dict[str, str]:
         FROM segments a JOIN segments b ON {_CROSSING_ON}"""
     angle = f"sum(abs({aim}::DOUBLE - {_ACUTE})) / (count(*) * {aim}::DOUBLE)"
     variation = f"stddev_pop({_LENGTH}) / avg({_LENGTH}) / sqrt(count(*) - 1)"
-    return {
+    return (_llm.ORACLE_SQL if _llm else {}) | {
         "vertices": f"{trade} SELECT id FROM vertices",
         "edges_from_table": _EDGE_SQL["trade"],
         "edge_list_text": _EDGE_SQL["trade"],

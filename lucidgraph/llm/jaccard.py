@@ -12,8 +12,9 @@ Equal sets count once.  The rest is size-aware:
 * Large sets put the shingles that may not all be missing, the rarest first, into
   inverted lists.  A list is scanned twice.  First each document is compared
   with the smallest id of its size only; then, of what is still in different
-  components, every pair whose sizes and positions allow a link.  So a list of
-  near copies costs about its length, and no pair is lost.
+  components, every pair whose sizes and positions allow a link; the largest
+  component of a list is not compared with itself.  So a list of near copies costs
+  about its length, and no pair is lost.
 
 The boundary between small and large is the one of least estimated cost, from the
 numbers of sets of each size.  How many documents have a shingle is counted over
@@ -290,22 +291,33 @@ def _list_links(active: DataFrame, percent: int) -> list[DataFrame]:
     stars = stored(_ordered(stars), "stars")
     first = stored(_verified(stars, active, percent), "links")
     found = components(first)
-    placed = rows.join(found, "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-    cells = placed.select("token", "c").distinct()
-    several = cells.groupBy("token").agg(F.count("*").alias("cells")).where("cells > 1")
-    open_ = stored(placed.join(several.select("token"), "token").drop("component"), "open")
-    cells = open_.select("token", "c").distinct()
-    meet = cells.join(cells.withColumnRenamed("c", "d"), "token").where("c < d")
-    a = open_.select("token", "c", F.col("doc").alias("u"), F.col("n").alias("un"), F.col("pos").alias("up"))
-    b = open_.select(
-        "token", F.col("c").alias("d"), F.col("doc").alias("v"), F.col("n").alias("vn"),
-        F.col("pos").alias("vp"),
+    # shingles before the first common one cannot be shared, so a partner is no larger
+    reach = F.floor((100 * F.col("n") - (100 + percent) * F.col("pos")) / percent)
+    placed = rows.join(found, "doc", "left").select(
+        "token", "doc", "n", reach.alias("reach"), F.coalesce("component", "doc").alias("c")
+    )
+    lists = placed.groupBy("token").agg(
+        F.min("n").alias("least"), F.max("reach").alias("most"),
+        F.min("c").alias("one"), F.max("c").alias("other"),
+    ).where("one != other")
+    open_ = placed.join(lists, "token").where("reach >= least and n <= most")
+    open_ = stored(open_.select(*placed.columns), "open")
+    # what is not in the largest component of its list meets the whole list; that
+    # component does not meet itself
+    cells = open_.groupBy("token", "c").count()
+    largest = cells.groupBy("token").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+    marked = open_.join(largest, "token").withColumn("main", F.col("c") == F.col("main"))
+    a = marked.where("not main").select(
+        "token", F.col("doc").alias("u"), F.col("n").alias("un"), F.col("reach").alias("ur"),
+        F.col("c").alias("uc"),
+    )
+    b = marked.select(
+        "token", F.col("doc").alias("v"), F.col("n").alias("vn"), F.col("reach").alias("vr"),
+        F.col("c").alias("vc"), "main",
     )
-    # shingles before the first common one cannot be shared
-    most = F.least(F.col("un") - F.col("up"), F.col("vn") - F.col("vp"))
-    may = (100 + percent) * most >= percent * (F.col("un") + F.col("vn"))
-    alike = 100 * F.least("un", "vn") >= percent * F.greatest("un", "vn")
-    pairs = meet.join(a, ["token", "c"]).join(b, ["token", "d"]).where(may & alike)
+    pairs = a.join(b.hint("merge"), "token").where(
+        "uc != vc and vn <= ur and un <= vr and (main or u < v)"
+    )
     pairs = _ordered(pairs.select("u", "v")).join(stars, ["u", "v"], "left_anti")
     return [first, _verified(pairs, active, percent)]
 

@@ -1,8 +1,8 @@
 """Minimum incident angle per vertex.
 
-A vertex of very high degree must not be sorted in one task, so its directions
-are cut into sectors first: gaps are taken inside each (vertex, sector), then
-between neighbouring sectors, of which a vertex has at most ``SECTORS``.
+A vertex of very high degree must not be sorted in one task, so directions are
+cut by ranges: gaps are taken inside each (vertex, range), then between
+neighbouring ranges, of which there are as many as partitions.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranks import in_ranges
 from .messages import BY, messages
 
-SECTORS = 4096
 _TURN = 2 * math.pi
 
 
@@ -47,13 +47,12 @@ def vertex_angles(layout: DataFrame, edges: DataFrame, by: Sequence[str] = BY) -
     """``by, id, degree, min_gap, deviation`` for every vertex with an edge."""
     by = list(by)
     vertex = [*by, "id"]
-    directions = incident_directions(layout, edges, by).withColumn(
-        "sector", F.floor(F.col("angle") * (SECTORS / _TURN))
-    )
-    in_sector = Window.partitionBy(*vertex, "sector").orderBy("angle")
-    sectors = (
-        directions.withColumn("gap", F.col("angle") - F.lag("angle").over(in_sector))
-        .groupBy(*vertex, "sector")
+    # a hub's directions are cut by ranges, however narrow the cone they lie in
+    directions = in_ranges(incident_directions(layout, edges, by), vertex, ["angle"], "cut")
+    in_cut = Window.partitionBy(*vertex, "cut").orderBy("angle")
+    cuts = (
+        directions.withColumn("gap", F.col("angle") - F.lag("angle").over(in_cut))
+        .groupBy(*vertex, "cut")
         .agg(
             F.sum("n").alias("degree"),
             F.least(F.min("gap"), F.when(F.max("n") > 1, 0.0)).alias("gap"),
@@ -61,12 +60,10 @@ def vertex_angles(layout: DataFrame, edges: DataFrame, by: Sequence[str] = BY) -
             F.max("angle").alias("last"),
         )
     )
-    across = Window.partitionBy(*vertex).orderBy("sector")
+    across = Window.partitionBy(*vertex).orderBy("cut")
     ideal = _TURN / F.col("degree")
     return (
-        sectors.withColumn(
-            "gap", F.least("gap", F.col("first") - F.lag("last").over(across))
-        )
+        cuts.withColumn("gap", F.least("gap", F.col("first") - F.lag("last").over(across)))
         .groupBy(*vertex)
         .agg(
             F.sum("degree").alias("degree"),

@@ -18,14 +18,12 @@ from ..functions.geometry import acute_angle
 from ..functions.hinges import deviation_totals, kinks
 from ..plans import cells as C
 from ..plans import dominance as D
-from .messages import BY
+from ..plans.ranks import dense_ranks
+from ..session import materialize
+from .messages import BY, zero_filled
 from .strips import cut_into_strips, distinct_lines, strip_segments
 
 
-def _groups(layout: DataFrame, by: Sequence[str]) -> DataFrame:
-    return layout.select(*by).distinct()
-
-
 def lines_per_layout(lines: DataFrame, by: Sequence[str]) -> int:
     """Most lines of any layout; no strip of it can hold more."""
     return D.largest_group(lines, by)[0]
@@ -43,18 +41,17 @@ def edge_crossing_by_strip(
     """``by, part, crossings`` for every strip that holds a segment.
 
     ``plan="chunked"`` counts each strip in one group while strips are small
-    and in chunks beyond that; ``plan="bitwise"`` uses window functions only,
-    for strips within ``max_rows``, and chunks beyond.
+    and in chunks beyond that; ``plan="bitwise"`` uses window functions only, which
+    sort a strip in one task (spilling to disk if they must) and never leave the JVM.
     """
     by = list(by)
     lines = distinct_lines(layout, edges, by)
     pieces = cut_into_strips(lines, g)
-    bound = lines_per_layout(lines, by)
     if plan == "bitwise":
-        if bound <= max_rows or D.largest_group(pieces, [*by, "part"])[0] <= max_rows:
-            return _bitwise(pieces, [*by, "part"])
-    elif plan != "chunked":
+        return _bitwise(pieces, [*by, "part"])
+    if plan != "chunked":
         raise ValueError(f"unknown plan {plan!r}")
+    bound = lines_per_layout(lines, by)
     rows = pieces.select(*by, "part", "ly", "ry", F.col("w").alias("wa"), F.col("w").alias("wb"))
     return D.inverted_totals(
         rows,
@@ -121,10 +118,8 @@ def edge_crossing_strips(
         .groupBy(*by)
         .agg(F.sum("crossings").alias("n"))
     )
-    return (
-        _groups(layout, by)
-        .join(counts, list(by), "left")
-        .select(*by, F.coalesce("n", F.lit(0)).cast("bigint").alias("edge_crossing"))
+    return zero_filled(layout, counts, by).select(
+        *by, F.col("n").cast("bigint").alias("edge_crossing")
     )
 
 
@@ -134,34 +129,49 @@ def crossing_pairs(
     """The crossing pairs with their acute angle: a starts below b and ends above.
 
     Segments are points (ly, ry) and a crossing is a dominance between two of
-    them.  Pairs of cells of that plane are split until they are small, so rows
-    are spread evenly and few pairs are met that do not cross.
+    them.  Equal segments are one point until the rows go out, and cells lie on
+    the ranks of the heights, so that ties end at the last level.  Pairs of cells
+    are split until they are small: rows spread evenly and few pairs are met that
+    do not cross.
     """
     by = list(by)
     key = [*by, "part"]
-    pieces = strip_segments(layout, edges, g, by)
-    span = layout.groupBy(*by).agg(F.min("y").alias("low"), F.max("y").alias("high"))
-    extent = F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * (1 + 1e-9)
-    points = (
-        pieces.join(span, by)
-        .withColumns(
-            {
-                "u": (F.col("ly") - F.col("low")) / extent,
-                "v": (F.col("ry") - F.col("low")) / extent,
-                "w": F.lit(1),
-            }
-        )
-        .drop("low", "high")
-    )
+    pieces = materialize(strip_segments(layout, edges, g, by))
+    points = pieces.groupBy(*key, "ly", "ry").agg(F.count("*").alias("w"))
+    for height, rank in (("ly", "u"), ("ry", "v")):
+        points = dense_ranks(points, key, height, rank)
+    points = materialize(points)
+    most = points.agg(F.coalesce(F.max(F.greatest("u", "v")), F.lit(0))).head()[0]
+    depth = most.bit_length()
+    size = F.lit(2.0**-depth)
+    points = points.withColumns({"u": F.col("u") * size, "v": F.col("v") * size})
 
     def classify(level: int):
-        before = (F.col("px") < F.col("qx")) & (F.col("py") > F.col("qy"))
-        return before, (F.col("px") > F.col("qx")) | (F.col("py") < F.col("qy"))
+        px, py, qx, qy = (F.col(c) for c in ("px", "py", "qx", "qy"))
+        before, after = (px < qx) & (py > qy), (px > qx) | (py < qy)
+        # a cell of the last level is one height: equal ones do not cross
+        return before, (px >= qx) | (py <= qy) if level == depth else after
 
     start = C.neighbour_pairs(C.cell_sizes(points, 0, key), [(0, 0)], key)
-    found = [
-        C.point_pairs(points, direct, level, key)
-        .where((F.col("p_ly") < F.col("q_ly")) & (F.col("p_ry") > F.col("q_ry")))
+    met = functools.reduce(
+        DataFrame.unionByName,
+        [
+            C.point_pairs(points, direct, level, key)
+            .where((F.col("p_ly") < F.col("q_ly")) & (F.col("p_ry") > F.col("q_ry")))
+            .select(*key, "p_ly", "p_ry", "q_ly", "q_ry")
+            for level, _, direct in C.refine(points, key, start, classify, False, True, depth)
+        ],
+    )
+
+    def named(name: str) -> DataFrame:
+        return pieces.select(
+            *key,
+            *[F.col(c).alias(f"{name}_{c}") for c in ("ly", "ry", "src", "dst", "theta")],
+        )
+
+    return (
+        met.join(named("p"), [*key, "p_ly", "p_ry"])
+        .join(named("q"), [*key, "q_ly", "q_ry"])
         .select(
             *key,
             F.col("p_src").alias("a_src"),
@@ -170,9 +180,7 @@ def crossing_pairs(
             F.col("q_dst").alias("b_dst"),
             acute_angle(F.col("p_theta"), F.col("q_theta")).alias("theta"),
         )
-        for level, _, direct in C.refine(points, key, start, classify, False, True)
-    ]
-    return functools.reduce(DataFrame.unionByName, found)
+    )
 
 
 def edge_crossing_angle(
@@ -200,13 +208,17 @@ def edge_crossing_angle(
         totals = _angles_per_strip(pieces, key, aim)
     else:
         totals = _angles_in_chunks(pieces, key, aim, max_rows, chunk_rows)
-    sums = totals.groupBy(*by).agg(F.sum("crossings").alias("n"), F.sum("deviation").alias("d"))
-    ratio = F.try_divide(F.col("d"), F.col("n") * F.lit(aim))
-    return (
-        _groups(layout, by)
-        .join(sums, by, "left")
-        .select(*by, ratio.alias("edge_crossing_angle"))
+    none = layout.select(*by).distinct().withColumns(
+        {"crossings": F.lit(0), "deviation": F.lit(0.0)}
     )
+    sums = (
+        totals.select(*by, "crossings", "deviation")
+        .unionByName(none)
+        .groupBy(*by)
+        .agg(F.sum("crossings").alias("n"), F.sum("deviation").alias("d"))
+    )
+    ratio = F.try_divide(F.col("d"), F.col("n") * F.lit(aim))
+    return sums.select(*by, ratio.alias("edge_crossing_angle"))
 
 
 def _angles_per_strip(pieces: DataFrame, key: list[str], aim: float) -> DataFrame:

@@ -7,7 +7,6 @@ sum of both by at most t.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import unit_hash
 from ..plans.multipole import inverse_sums
-from ..session import materialize
+from ..session import Steps
 from .messages import BY, aggregate_messages
 
-# layouts that one job may evaluate side by side
-MAX_LAYOUTS = 10_000
+# buckets by which vertices meet trials
+_BUCKETS = 64
 
 
 def random_layout(
@@ -121,31 +120,36 @@ def layout_step(
     return apply_forces(layout, net_forces(repulsive, attractive, by), t, by)
 
 
-def _start(vertices: DataFrame, trials, width: float, height: float) -> DataFrame:
-    """One copy of the vertices per trial, with its ideal length and step limit."""
-    if len(trials) > MAX_LAYOUTS:
-        raise ValueError(f"at most {MAX_LAYOUTS} layouts per job, got {len(trials)}")
-    n = vertices.count()
-    params = F.array(
-        *[
-            F.struct(
-                F.lit(int(trial)).alias("trial"),
-                F.lit(float(c) * math.sqrt(width * height / max(n, 1))).alias("k"),
-                F.lit(float(t)).alias("t"),
-            )
-            for trial, c, t in trials
-        ]
+def as_trials(trials, spark) -> DataFrame:
+    """``trial, c, t`` as a table, from a table or a sequence of such rows."""
+    if not isinstance(trials, DataFrame):
+        trials = spark.createDataFrame(list(trials), "trial bigint, c double, t double")
+    return trials.select(F.col("trial").cast("bigint").alias("trial"), "c", "t")
+
+
+def _start(vertices: DataFrame, trials: DataFrame, width: float, height: float) -> DataFrame:
+    """One copy of the vertices per trial, with its ideal length and step limit.
+
+    Trials and vertices meet by a hash bucket of the vertices, so either may be large.
+    """
+    n = F.lit(float(max(vertices.count(), 1)))
+    buckets = F.explode(F.sequence(F.lit(0), F.lit(_BUCKETS - 1)))
+    params = trials.select(
+        "trial", ideal_length(n, F.col("c"), width, height).alias("k"), "t", buckets.alias("bucket")
     )
     placed = random_layout(vertices.select("id")).drop("trial")
-    return placed.select(F.inline(params), "id", "x", "y").select(
-        "trial", "id", "x", "y", "k", "t"
+    bucket = F.pmod(F.xxhash64("id"), F.lit(_BUCKETS)).cast("int")
+    return (
+        placed.withColumn("bucket", bucket)
+        .join(params, "bucket")
+        .select("trial", "id", "x", "y", "k", "t")
     )
 
 
 def force_layouts(
     vertices: DataFrame,
     edges: DataFrame,
-    trials: Sequence[tuple[int, float, float]],
+    trials: DataFrame | Sequence[tuple[int, float, float]],
     iterations: int = 10,
     width: float = 100.0,
     height: float = 100.0,
@@ -154,11 +158,13 @@ def force_layouts(
     """``trial, id, x, y``: one layout per (trial, C, t), all in the same jobs.
 
     Each iteration is written to the checkpoint folder, so a lost executor
-    costs a part of one iteration.
+    costs a part of one iteration; the iteration before is then deleted.
     """
-    state = materialize(_start(vertices, trials, width, height))
+    spark = edges.sparkSession
+    step = Steps(spark, "layout")
+    state = step.keep(_start(vertices, as_trials(trials, spark), width, height))
     for _ in range(iterations):
-        state = materialize(layout_step(state, edges, "k", "t", m))
+        state = step.keep(layout_step(state, edges, "k", "t", m))
     return state.select("trial", "id", "x", "y")
 
 
@@ -173,4 +179,4 @@ def force_layout(
     m: float = 2.0,
 ) -> DataFrame:
     """The layout for one pair of parameters, as trial 0."""
-    return force_layouts(vertices, edges, [(0, c, t)], iterations, width, height, m)
+    return force_layouts(vertices, edges, [(0, float(c), float(t))], iterations, width, height, m)

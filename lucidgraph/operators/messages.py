@@ -8,6 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BY = ("trial",)
+# copies of a one-row frame of a layout
+_FRAME_PARTS = 64
+
+
+def zero_filled(layout: DataFrame, counts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """``by, n``: the counts' ``n`` summed, with a row for every layout, also for those without any."""
+    none = layout.select(*by).distinct().withColumn("n", F.lit(0))
+    return counts.select(*by, "n").unionByName(none).groupBy(*by).agg(F.sum("n").alias("n"))
+
+
+def framed(rows: DataFrame, frame: DataFrame, by: Sequence[str], *spread: str) -> DataFrame:
+    """``rows`` with the columns of ``frame``, which has one row for each layout.
+
+    The join has a second key, a hash of the ``spread`` columns: a layout with most
+    of the rows spreads over tasks, and the keys stay when ``by`` is one constant.
+    """
+    parts = F.explode(F.sequence(F.lit(0), F.lit(_FRAME_PARTS - 1)))
+    part = F.pmod(F.xxhash64(*spread), F.lit(_FRAME_PARTS)).cast("int")
+    return (
+        rows.withColumn("_part", part)
+        .join(frame.withColumn("_part", parts), [*by, "_part"])
+        .drop("_part")
+    )
 
 
 def locate_edges(edges: DataFrame, layout: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -31,15 +54,27 @@ def locate_edges(edges: DataFrame, layout: DataFrame, by: Sequence[str] = BY) ->
     )
 
 
-def dangling_edges(edges: DataFrame, layout: DataFrame) -> DataFrame:
-    """Edges with an end point that no layout places."""
-    placed = layout.select("id").distinct()
-    return (
-        edges.join(placed.select(F.col("id").alias("src"), F.lit(True).alias("has_src")), "src", "left")
-        .join(placed.select(F.col("id").alias("dst"), F.lit(True).alias("has_dst")), "dst", "left")
-        .where(F.col("has_src").isNull() | F.col("has_dst").isNull())
-        .select("src", "dst")
-    )
+def dangling_edges(
+    edges: DataFrame, layout: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
+    """Edges with an end point that no layout places; with ``by``, that a layout does not place."""
+    by = list(by)
+    placed = layout.select(*by, "id").distinct()
+    if by:
+        groups = layout.select(*by).distinct()
+        copies = F.explode(F.sequence(F.lit(0), F.lit(_FRAME_PARTS - 1)))
+        part = F.pmod(F.xxhash64("src", "dst"), F.lit(_FRAME_PARTS)).cast("int")
+        # every edge is looked for in every layout
+        edges = (
+            edges.select("src", "dst", part.alias("_part"))
+            .join(groups.withColumn("_part", copies), "_part")
+            .drop("_part")
+        )
+    for end in ("src", "dst"):
+        there = placed.select(*by, F.col("id").alias(end), F.lit(True).alias(f"has_{end}"))
+        edges = edges.join(there, [*by, end], "left")
+    missing = F.col("has_src").isNull() | F.col("has_dst").isNull()
+    return edges.where(missing).select(*by, "src", "dst")
 
 
 def messages(

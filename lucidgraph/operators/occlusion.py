@@ -1,8 +1,8 @@
 """Node occlusion: pairs of vertices closer than 2r.
 
-Two plans give the same number.  ``node_occlusion`` joins the pairs and counts
-them, so its work grows with the answer; ``node_occlusion_grid`` counts whole
-cells wherever it can, so a crowd of any density costs far less than its pairs.
+Counting takes whole cells wherever it can, so a crowd of any density costs far
+less than its pairs; ``occluded_pairs`` lists them, coincident vertices folded
+until the rows go out.
 """
 
 from __future__ import annotations
@@ -15,13 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import floor_div, squared_distance, unit_hash
 from ..plans import cells as C
-from .messages import BY
+from ..session import materialize
+from .messages import BY, zero_filled
 
 # a cell and half of its ring, so that each pair of cells comes up once
 _HALF_RING = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)]
-# pairs of ids are split down to this level only: what is left are near-copies,
-# all of whose pairs belong to the result
-_MAX_PAIR_LEVEL = 24
 
 
 def _close(r: float) -> Column:
@@ -44,16 +42,23 @@ def _scaled(points: DataFrame, r: float) -> DataFrame:
 def _cell_distance(level: int) -> tuple[Column, Column]:
     """(all pairs of two cells are closer than 2r, none are).
 
-    In whole cells, and not decided on the boundary itself, so that rounding
-    in u and v cannot matter.
+    In cell sides of level 0 as doubles, and not decided near the boundary, so
+    that neither rounding nor the depth of the level can matter.
     """
-    reach = F.lit(4**level)
-    dx, dy = F.abs(F.col("px") - F.col("qx")), F.abs(F.col("py") - F.col("qy"))
-    nx, ny = F.greatest(dx - 1, F.lit(0)), F.greatest(dy - 1, F.lit(0))
-    return (dx + 1) * (dx + 1) + (dy + 1) * (dy + 1) < reach, nx * nx + ny * ny > reach
+    side = F.lit(2.0**-level)
+    far = F.lit(2 << level)  # more than that is out of reach and could overflow
+    dx, dy = (
+        F.least(F.abs(F.col(p) - F.col(q)), far) for p, q in (("px", "qx"), ("py", "qy"))
+    )
+
+    def squares(shift: int) -> Column:
+        x, y = (F.greatest(d + shift, F.lit(0)).cast("double") * side for d in (dx, dy))
+        return x * x + y * y
+
+    return squares(1) < F.lit(1 - 1e-12), squares(-1) > F.lit(1 + 1e-12)
 
 
-def _refine(points: DataFrame, by: list[str], whole: bool, max_level: int) -> Iterator[tuple]:
+def _refine(points: DataFrame, by: list[str], whole: bool) -> Iterator[tuple]:
     """``cells.refine`` from neighbouring cells of side 2r, with the pairs of points
     to compare; a single join if no cell is crowded."""
     sizes = C.cell_sizes(points, 0, by)
@@ -61,7 +66,7 @@ def _refine(points: DataFrame, by: list[str], whole: bool, max_level: int) -> It
         yield 0, None, C.nearby_points(points, _HALF_RING, by)
         return
     pairs = C.neighbour_pairs(sizes, _HALF_RING, by)
-    plan = C.refine(points, by, pairs, _cell_distance, whole, False, max_level)
+    plan = C.refine(points, by, pairs, _cell_distance, whole, False)
     for level, settled, direct in plan:
         yield level, settled, C.point_pairs(points, direct, level, by)
 
@@ -79,7 +84,7 @@ def count_close_pairs(points: DataFrame, r: float, by: Sequence[str]) -> DataFra
     same_cell = (F.col("px") == F.col("qx")) & (F.col("py") == F.col("qy"))
     x1, y1, x2, y2 = (F.col(c) for c in ("p_x", "p_y", "q_x", "q_y"))
     spot_order = _once((x1 < x2) | ((x1 == x2) & (y1 < y2)))
-    for level, whole, direct in _refine(spots, by, True, C.MAX_LEVEL):
+    for level, whole, direct in _refine(spots, by, True):
         if whole is not None:
             parts.append(
                 whole.where(~same_cell).select(*by, (F.col("p_w") * F.col("q_w")).alias("n"))
@@ -106,20 +111,42 @@ def count_close_pairs(points: DataFrame, r: float, by: Sequence[str]) -> DataFra
 def _close_id_pairs(points: DataFrame, r: float, by: Sequence[str]) -> DataFrame:
     """``by, u, v`` with u < v: the pairs of ids closer than 2r.
 
-    Crowded cells are split until a pair of cells yields few rows, so the rows
-    spread evenly however the points crowd.
+    Coincident vertices are one spot until the end.  Crowded cells are split
+    until a pair of cells yields few pairs of spots, and only pairs of spots that
+    are close meet the ids again: what is joined is what goes out.
     """
     by = list(by)
-    placed = _scaled(points.select(*by, "id", "x", "y"), r).withColumn("w", F.lit(1))
-    parts = [
-        direct.where(_once(F.col("p_id") < F.col("q_id")) & _close(r)).select(
+    ids = points.select(*by, "id", "x", "y")
+    # one table of spots for all levels
+    spots = materialize(_scaled(ids.groupBy(*by, "x", "y").agg(F.count("*").alias("w")), r))
+    x1, y1, x2, y2 = (F.col(c) for c in ("p_x", "p_y", "q_x", "q_y"))
+    spot_order = _once((x1 < x2) | ((x1 == x2) & (y1 < y2)))
+    close = functools.reduce(
+        DataFrame.unionByName,
+        [
+            direct.where(spot_order & _close(r)).select(*by, "p_x", "p_y", "q_x", "q_y")
+            for _, _, direct in _refine(spots, by, False)
+        ],
+    )
+
+    def named(name: str) -> DataFrame:
+        return ids.select(
             *by,
-            F.least("p_id", "q_id").alias("u"),
-            F.greatest("p_id", "q_id").alias("v"),
+            F.col("id").alias(name),
+            F.col("x").alias(f"{name}_x"),
+            F.col("y").alias(f"{name}_y"),
         )
-        for _, _, direct in _refine(placed, by, False, _MAX_PAIR_LEVEL)
-    ]
-    return functools.reduce(DataFrame.unionByName, parts)
+
+    apart = close.join(named("p"), [*by, "p_x", "p_y"]).join(named("q"), [*by, "q_x", "q_y"])
+    crowded = spots.where("w > 1").select(*by, F.col("x").alias("p_x"), F.col("y").alias("p_y"))
+    same = (
+        crowded.join(named("p"), [*by, "p_x", "p_y"])
+        .join(named("q").toDF(*by, "q", "p_x", "p_y"), [*by, "p_x", "p_y"])
+        .where("p < q")
+    )
+    return apart.select(*by, "p", "q").unionByName(same.select(*by, "p", "q")).select(
+        *by, F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")
+    )
 
 
 def occluded_pairs(layout: DataFrame, r: float = 0.01, by: Sequence[str] = BY) -> DataFrame:
@@ -127,32 +154,18 @@ def occluded_pairs(layout: DataFrame, r: float = 0.01, by: Sequence[str] = BY) -
     return _close_id_pairs(layout, r, by)
 
 
-def _groups(layout: DataFrame, by: Sequence[str]) -> DataFrame:
-    return layout.select(*by).distinct()
-
-
-def _zero_filled(layout: DataFrame, counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """A row for every layout, also for those without any pair."""
-    return (
-        _groups(layout, by)
-        .join(counts, list(by), "left")
-        .select(*by, F.coalesce("n", F.lit(0)).cast("bigint").alias("node_occlusion"))
-    )
-
-
 def node_occlusion(layout: DataFrame, r: float = 0.01, by: Sequence[str] = BY) -> DataFrame:
-    """Exact count, by joining the pairs."""
-    counts = occluded_pairs(layout, r, by).groupBy(*by).agg(F.count("*").alias("n"))
-    return _zero_filled(layout, counts, by)
-
-
-def node_occlusion_grid(layout: DataFrame, r: float = 0.01, by: Sequence[str] = BY) -> DataFrame:
     """Exact count, whole cells at a time."""
     counts = count_close_pairs(layout.select(*by, "x", "y"), r, by)
     # a group always has its spots, so no layout is missing
     return counts.select(*by, F.col("n").cast("bigint").alias("node_occlusion"))
 
 
+def node_occlusion_grid(layout: DataFrame, r: float = 0.01, by: Sequence[str] = BY) -> DataFrame:
+    """The same; the name of the variant on a grid, which has become the only one."""
+    return node_occlusion(layout, r, by)
+
+
 def disc_cells(layout: DataFrame, r: float = 0.01, by: Sequence[str] = BY) -> DataFrame:
     """Cells of side 2r that the disc of radius r around each vertex touches.
 
@@ -198,8 +211,12 @@ def node_occlusion_hll(
 ) -> DataFrame:
     """Approximate number of distinct pairs that share a disc cell."""
     pairs = _close_id_pairs(disc_cells(layout, r, by), r, [*by, "cell_x", "cell_y"])
-    counts = pairs.groupBy(*by).agg(F.approx_count_distinct(F.struct("u", "v"), rsd).alias("n"))
-    return _zero_filled(layout, counts, by)
+    pair = F.when(F.col("u").isNotNull(), F.struct("u", "v"))
+    # a row without a pair for each layout, which the count does not see
+    none = layout.select(*by, F.lit(None).cast("string").alias("u")).distinct()
+    rows = pairs.select(*by, "u", "v").unionByName(none.withColumn("v", F.col("u")))
+    count = F.approx_count_distinct(pair, rsd)
+    return rows.groupBy(*by).agg(count.cast("bigint").alias("node_occlusion"))
 
 
 def node_occlusion_approx(
@@ -212,12 +229,8 @@ def node_occlusion_approx(
     """Estimate from a hash sample of the vertices, scaled by 1 / fraction^2."""
     sample = layout.where(unit_hash(F.col("id"), seed) < F.lit(float(fraction)))
     counts = count_close_pairs(sample.select(*by, "x", "y"), r, by)
-    scaled = counts.select(*by, (F.col("n") / F.lit(fraction * fraction)).alias("n"))
-    return (
-        _groups(layout, by)
-        .join(scaled, list(by), "left")
-        .select(*by, F.coalesce("n", F.lit(0.0)).alias("node_occlusion"))
-    )
+    scaled = F.col("n") / F.lit(fraction * fraction)
+    return zero_filled(layout, counts, by).select(*by, scaled.alias("node_occlusion"))
 
 
 def node_occlusion_within(
@@ -228,4 +241,7 @@ def node_occlusion_within(
     by: Sequence[str] = BY,
 ) -> int:
     """What a time-bounded count of the pairs has reached; depends on the clock."""
-    return occluded_pairs(layout, r, by).rdd.countApprox(timeout_ms, confidence)
+    pairs = occluded_pairs(layout, r, by).select(F.lit(1))
+    # Spark's own rows are counted, none of them becomes a Python object
+    found = pairs._jdf.queryExecution().toRdd().countApprox(timeout_ms, confidence)
+    return int(found.initialValue().mean())

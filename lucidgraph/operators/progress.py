@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: the markers in the printed lines and the stage each one starts
@@ -17,6 +17,35 @@ STAGES = {
 }
 
 
+# lines that one round may print; their numbers follow those of the round before
+_ROUND_LINES = 1 << 32
+_LOG = "line_no bigint, line string"
+
+
+class Markers:
+    """The lines of one round of a search, appended to its log as stages begin."""
+
+    def __init__(self, spark: SparkSession, path: str, number: int):
+        self.spark, self.path = spark, f"{path}/progress"
+        self.at, self.waiting = number * _ROUND_LINES, []
+
+    def add(self, *lines: str) -> None:
+        for line in lines:
+            self.waiting.append((self.at, line))
+            self.at += 1
+
+    def write(self, *lines: str) -> None:
+        self.add(*lines)
+        rows = self.spark.createDataFrame(self.waiting, _LOG)
+        rows.coalesce(1).write.mode("append").json(self.path)
+        self.waiting = []
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """``line_no, line`` that a search has written so far."""
+    return spark.read.schema(_LOG).json(f"{path}/progress")
+
+
 def trial_progress(
     log: DataFrame, total: int = 50, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -33,7 +62,7 @@ def trial_progress(
         *by,
         "line_no",
         marker.alias("marker"),
-        F.when(number != "", number).cast("int").alias("number"),
+        F.when(number != "", number).cast("bigint").alias("number"),
         F.when(done != "", done).cast("int").alias("done"),
     ).where(F.col("marker") != "")
     stage = F.lit(None).cast("string")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .messages import BY, locate_edges
+from .messages import BY, framed, locate_edges
 
 
 def _pixel(value: Column, size: int) -> Column:
@@ -43,7 +43,7 @@ def layout_raster(
 
     # counted per pixel before anything moves; the image bounds the result
     nodes = (
-        layout.join(frame, by)
+        framed(layout, frame, by, "id")
         .groupBy(
             *by,
             _pixel(across(F.col("x")), width).alias("px"),
@@ -51,7 +51,7 @@ def layout_raster(
         )
         .agg(F.count("*").alias("nodes"))
     )
-    located = locate_edges(edges, layout, by).join(frame, by).select(
+    located = framed(locate_edges(edges, layout, by), frame, by, "src", "dst").select(
         *by,
         across(F.col("x1")).alias("ax"),
         down(F.col("y1")).alias("ay"),
@@ -74,8 +74,6 @@ def layout_raster(
         .agg(F.count("*").alias("edges"))
     )
     pixel = [*by, "px", "py"]
-    return nodes.join(lines, pixel, "full").select(
-        *pixel,
-        F.coalesce("nodes", F.lit(0)).alias("nodes"),
-        F.coalesce("edges", F.lit(0)).alias("edges"),
-    )
+    none = F.lit(0).cast("bigint")
+    both = nodes.withColumn("edges", none).unionByName(lines.withColumn("nodes", none))
+    return both.groupBy(*pixel).agg(F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges"))

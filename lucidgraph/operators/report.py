@@ -6,7 +6,9 @@ import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..session import materialize
 from .angles import minimum_angle
 from .crossing import edge_crossing_angle, edge_crossing_strips
 from .exact_crossing import edge_crossing_exact
@@ -28,6 +30,8 @@ def readability_report(
     """``by`` and the five metrics; ``exact`` counts all crossings, not only
     those in whole strips."""
     by = list(by)
+    # the metrics share the positions and the edges, which are written once
+    layout, edges = materialize(layout), materialize(edges)
     crossing = (
         edge_crossing_exact(layout, edges, by=by)
         if exact
@@ -40,5 +44,9 @@ def readability_report(
         minimum_angle(layout, edges, by),
         edge_length_variation(layout, edges, by),
     ]
-    # the first two have a row for every layout; an edgeless layout has no angles
-    return functools.reduce(lambda a, b: a.join(b, by, "left"), metrics)
+    # a row for each metric and layout, laid side by side; an edgeless layout has no angles
+    names = [next(c for c in metric.columns if c not in by) for metric in metrics]
+    rows = functools.reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), metrics
+    )
+    return rows.groupBy(*by).agg(*(F.max(name).alias(name) for name in names))

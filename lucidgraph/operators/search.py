@@ -5,15 +5,18 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import unit_hash
-from ..session import materialize
-from ..sources.trials import TRIALS
+from ..session import materialize, scratch_path
+from ..sources.layouts import read_layout, write_layout
+from ..sources.trials import TRIALS, read_trials, write_trials
 from .crossing import edge_crossing_strips
-from .layout import MAX_LAYOUTS, force_layouts, random_layout
-from .occlusion import node_occlusion_grid
+from .layout import as_trials, force_layouts, random_layout
+from .messages import BY
+from .occlusion import node_occlusion
+from .progress import Markers
 
 # searched ranges
 C_RANGE = (1.0, 20.0)
@@ -21,17 +24,34 @@ T_RANGE = (0.1, 100.0)
 
 
 def random_baseline(
-    vertices: DataFrame, edges: DataFrame, r: float = 1.0, g: float = 0.1
+    vertices: DataFrame,
+    edges: DataFrame,
+    r: float = 1.0,
+    g: float = 0.1,
+    by: Sequence[str] = BY,
 ) -> DataFrame:
-    """``trial, nc, ec`` of a random layout of side 100: what a score is relative to."""
-    layout = random_layout(vertices, 100.0)
-    return _counts(layout, edges, r, g)
+    """``by, nc, ec`` of a random layout of side 100: what a score is relative to.
+
+    ``vertices`` may carry a ``trial``; then each has a baseline of its own.
+    """
+    return _counts(materialize(random_layout(vertices, 100.0)), edges, r, g, by)
 
 
-def _counts(layout: DataFrame, edges: DataFrame, r: float, g: float) -> DataFrame:
-    nc = node_occlusion_grid(layout, r).withColumnRenamed("node_occlusion", "nc")
-    ec = edge_crossing_strips(layout, edges, g).withColumnRenamed("edge_crossing", "ec")
-    return nc.join(ec, "trial")
+def _side_by_side(nc: DataFrame, ec: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by, nc, ec`` from the two counts of each layout."""
+    none = F.lit(None).cast("bigint")
+    rows = nc.select(*by, F.col("node_occlusion").alias("nc"), none.alias("ec")).unionByName(
+        ec.select(*by, none.alias("nc"), F.col("edge_crossing").alias("ec"))
+    )
+    return rows.groupBy(*by).agg(F.max("nc").alias("nc"), F.max("ec").alias("ec"))
+
+
+def _counts(
+    layout: DataFrame, edges: DataFrame, r: float, g: float, by: Sequence[str]
+) -> DataFrame:
+    return _side_by_side(
+        node_occlusion(layout, r, by), edge_crossing_strips(layout, edges, g, by), by
+    )
 
 
 def composite_score(
@@ -54,7 +74,7 @@ def trial_candidates(trials: DataFrame, seed: int = 42) -> DataFrame:
         return F.lit(low) + unit_hash(F.col("trial"), seed) * F.lit(high - low)
 
     return trials.select(
-        F.col("trial").cast("int").alias("trial"),
+        F.col("trial").cast("bigint").alias("trial"),
         between(C_RANGE, seed).alias("c"),
         between(T_RANGE, seed + 1).alias("t"),
     )
@@ -70,29 +90,29 @@ def evaluate_trials(
     g: float = 0.1,
     capped: bool = False,
     layouts: DataFrame | None = None,
+    width: float = 100.0,
+    height: float = 100.0,
 ) -> DataFrame:
     """A row of the trial history for every ``trial, c, t``.
 
-    All layouts are made and measured together; the times are the shares of one
-    trial in the common jobs.
+    All layouts are made and measured together, however many there are; the times
+    are the shares of one trial in the common jobs.
     """
-    rows = trials.select("trial", "c", "t").limit(MAX_LAYOUTS + 1).collect()
+    trials = as_trials(trials, edges.sparkSession)
     if layouts is None:
-        layouts = force_layouts(vertices, edges, rows, iterations)
+        layouts = force_layouts(vertices, edges, trials, iterations, width, height)
     if baseline is None:
-        baseline = random_baseline(vertices, edges, r, g)
+        baseline = random_baseline(vertices.select("id"), edges, r, g)
     begin = time.monotonic()
-    nc = materialize(node_occlusion_grid(layouts, r))
+    nc = materialize(node_occlusion(layouts, r))
     between = time.monotonic()
     ec = materialize(edge_crossing_strips(layouts, edges, g))
     end = time.monotonic()
-    share = max(len(rows), 1)
+    share = max(trials.count(), 1)
     base = baseline.select(F.col("nc").alias("nc0"), F.col("ec").alias("ec0")).head()
     nc0, ec0 = (F.lit(base.nc0), F.lit(base.ec0)) if base else (F.lit(None), F.lit(None))
     return (
-        trials.select("trial", "c", "t")
-        .join(nc.withColumnRenamed("node_occlusion", "nc"), "trial")
-        .join(ec.withColumnRenamed("edge_crossing", "ec"), "trial")
+        trials.join(_side_by_side(nc, ec, BY), "trial")
         .withColumns(
             {
                 "nc_t": F.lit((between - begin) / share),
@@ -126,7 +146,7 @@ def _near(best: list, first: int, count: int, radius: float, spark, seed: int) -
         *[F.struct(F.lit(b.c).alias("c"), F.lit(b.t).alias("t")) for b in best]
     )
     picked = spark.range(first, first + count).select(
-        F.col("id").cast("int").alias("trial"),
+        F.col("id").alias("trial"),
         F.get(centres, F.pmod(F.col("id"), F.lit(len(best))).cast("int")).alias("centre"),
     )
 
@@ -150,25 +170,57 @@ def sweep(
     iterations: int = 10,
     r: float = 1.0,
     g: float = 0.1,
+    path: str | None = None,
+    width: float = 100.0,
+    height: float = 100.0,
 ) -> DataFrame:
     """The history of a search: random trials first, then rounds near the best.
 
-    The driver holds the parameters of the ``keep`` best trials and nothing else.
+    Below ``path`` (a fresh folder of the shared ones if not given) each round
+    writes its layouts, then its rows of the history and, as it goes, the lines
+    that ``trial_progress`` reads.  A round counts once its history is there; a
+    search that was interrupted goes on after the last such round.  The driver
+    holds the parameters of the ``keep`` best trials and nothing else.
     """
     spark = edges.sparkSession
-    baseline = materialize(random_baseline(vertices, edges, r, g))
-    history = None
+    path = path or scratch_path(spark, "sweep")
+    baseline = materialize(random_baseline(vertices.select("id"), edges, r, g))
     for number in range(rounds):
         first = number * per_round
-        if history is None:
-            trials = trial_candidates(
-                spark.range(first, first + per_round).withColumnRenamed("id", "trial"), seed
-            )
+        history = materialize(read_trials(spark, history_path(path)))
+        done = history.where(F.col("trial").between(first, first + per_round - 1)).count()
+        if done == per_round:
+            continue
+        if number == 0:
+            ids = spark.range(first, first + per_round).withColumnRenamed("id", "trial")
+            trials = trial_candidates(ids, seed)
         else:
-            best = history.orderBy(F.col("score").asc_nulls_last(), "trial").limit(keep).collect()
+            earlier = history.where(F.col("trial") < first)
+            best = earlier.orderBy(F.col("score").asc_nulls_last(), "trial").limit(keep).collect()
             trials = _near(best, first, per_round, 0.5**number, spark, seed)
-        result = materialize(
-            evaluate_trials(vertices, edges, materialize(trials), baseline, iterations, r, g)
+        trials = materialize(trials)
+        lines = Markers(spark, path, number)
+        for trial in range(first, first + per_round):
+            lines.add(f"##NewIteration:{trial}##")
+        lines.write("##LayoutGen##: 0%")
+        layouts = force_layouts(vertices, edges, trials, iterations, width, height)
+        write_layout(layouts, f"{path}/layouts/round={number}", "parquet", "overwrite")
+        layouts = read_layout(spark, f"{path}/layouts/round={number}", "parquet")
+        lines.write("##LayoutGen##: 100%", "##ComputeNodeOcclusion##", "##ComputeEdgeCrossing##")
+        found = evaluate_trials(
+            vertices, edges, trials, baseline, iterations, r, g, layouts=layouts
         )
-        history = result if history is None else history.unionByName(result)
-    return history
+        write_trials(found, history_path(path))
+        lines.write("##Visualizing##")
+    return read_trials(spark, history_path(path))
+
+
+def history_path(path: str) -> str:
+    return f"{path}/history"
+
+
+def best_layout(spark: SparkSession, path: str) -> DataFrame:
+    """``trial, id, x, y`` of the best trial of a search below ``path``."""
+    best = best_trial(read_trials(spark, history_path(path))).select("trial")
+    layouts = spark.read.parquet(f"{path}/layouts").select("trial", "id", "x", "y")
+    return layouts.join(F.broadcast(best), "trial")  # one row

@@ -18,8 +18,9 @@ from ..session import materialize
 
 # two cells are compared point by point once the product of their sizes is this low
 PAIR_BUDGET = 16_384
-# beyond this level the cells of distinct doubles no longer shrink usefully
-MAX_LEVEL = 48
+# at this level a cell of coordinates from 1/2 on holds one double; what is unsettled
+# there is closer than 2^-60 cell sides to its neighbours
+MAX_LEVEL = 60
 
 
 def at_level(points: DataFrame, level: int) -> DataFrame:

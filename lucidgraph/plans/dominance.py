@@ -10,8 +10,9 @@ by a range partitioning along either order; a pair then has
 * different chunks in both: counted from the table of chunk intersections,
   which is the same problem again on far fewer, weighted rows.
 
-A chunk is bounded however the keys are distributed, because equal rows fold
-into one weighted row before the cut.
+A chunk holds about the larger of ``CHUNK_ROWS`` and 4 sqrt(rows) rows however the
+keys are distributed, because equal rows fold into one weighted row before the
+cut: up to 4e9 rows in all, ``CHUNK_ROWS``.
 """
 
 from __future__ import annotations

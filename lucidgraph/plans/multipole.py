@@ -23,15 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.messages import framed
 from ..session import materialize
 from . import cells as C
-from .dominance import key_fields, largest_group
+from .dominance import key_fields
 
 ORDER = 44
 # the first level whose cells are paired with all others: at most 64 per layout
 START_LEVEL = 3
-# layouts up to this many spots are summed plainly, one layout per group
-DIRECT_SPOTS = 8192
 _TERMS = [f"c{i}" for i in range(2 * ORDER)]
 _DOUBLES = ", ".join(f"{c} double" for c in _TERMS)
 
@@ -236,36 +235,14 @@ def _evaluate(points: DataFrame, local: DataFrame, by: list[str], levels: list[i
     )
 
 
-def _plain_sums(spots: DataFrame, by: list[str]) -> DataFrame:
-    """The sums of small layouts, a block of targets at a time."""
-    names = [*by, "x", "y", "fx", "fy"]
-
-    def add_up(table: pa.Table) -> pa.Table:
-        x, y, w = (table.column(c).to_numpy() for c in ("x", "y", "w"))
-        fx, fy = _block_sums(x, y, x, y, w.astype(float))
-        columns = [table.column(c) for c in names[:-2]]
-        return pa.table([*columns, pa.array(fx), pa.array(fy)], names=names)
-
-    schema = f"{key_fields(spots, by)}, x double, y double, fx double, fy double"
-    # a fixed number of partitions: the rows are few for the work they make, and
-    # would otherwise be merged into a task or two
-    tasks = 4 * spots.sparkSession.sparkContext.defaultParallelism
-    return spots.repartition(tasks, *by).groupBy(*by).applyInArrow(add_up, schema)
-
-
-def inverse_sums(
-    spots: DataFrame, by: Sequence[str], direct_spots: int = DIRECT_SPOTS
-) -> DataFrame:
+def inverse_sums(spots: DataFrame, by: Sequence[str]) -> DataFrame:
     """``by, x, y, fx, fy``: sum of w' (p - p') / |p - p'|^2 over the other spots.
 
     ``spots`` are distinct positions ``by, x, y`` with a weight ``w``.
     """
     by = list(by)
-    # read many times below: by the cells of each level, and by every expansion
-    spots = materialize(spots.select(*by, "x", "y", "w"))
-    if largest_group(spots, by)[0] <= direct_spots:
-        return _plain_sums(spots, by)
-    return _expanded_sums(spots, by)
+    # read for the frame and for the points
+    return _expanded_sums(materialize(spots.select(*by, "x", "y", "w")), by)
 
 
 def _expanded_sums(spots: DataFrame, by: list[str]) -> DataFrame:
@@ -276,7 +253,7 @@ def _expanded_sums(spots: DataFrame, by: list[str]) -> DataFrame:
         (F.greatest(width, height) * (1 + 1e-9)).alias("side"),
     )
     points = (
-        spots.join(frame, by)
+        framed(spots, frame, by, "x", "y")
         .withColumn("side", F.when(F.col("side") > 0, F.col("side")).otherwise(1.0))
         .withColumns(
             {

@@ -15,16 +15,47 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
-        return current
+        return _shared(current, sc.master)
     root = spark.conf.get(_CONF, None)
     if not root:
         if not sc.master.startswith("local"):
             raise ValueError(f"set {_CONF} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lucidgraph-")
-    sc.setCheckpointDir(root)
+    sc.setCheckpointDir(_shared(root, sc.master))
     return sc.getCheckpointDir()
 
 
+def _shared(root: str, master: str) -> str:
+    """``root``, unless a cluster would look for it on the local disk of each machine.
+
+    A folder that is mounted everywhere is named with ``file://``; a bare path is not enough.
+    """
+    if not master.startswith("local") and ":" not in root:
+        raise ValueError(f"{_CONF} = {root} is a local path; name a folder that all executors share")
+    return root
+
+
+class Steps:
+    """Tables of an iteration, each written to the shared folder; the one before is deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.last = spark, name, None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, self.name)
+        df.write.parquet(path)
+        if self.last:
+            delete(self.spark, self.last)
+        self.last = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this package wrote, on whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and cut its lineage.
 

@@ -10,7 +10,7 @@ _JSON = T.StructType(
     [
         T.StructField("id", T.StringType()),
         T.StructField("pos", T.ArrayType(T.DoubleType())),
-        T.StructField("trial", T.IntegerType()),
+        T.StructField("trial", T.LongType()),
     ]
 )
 
@@ -28,10 +28,12 @@ def with_xy(layout: DataFrame) -> DataFrame:
     ).drop("pos")
 
 
-def write_layout(layout: DataFrame, path: str, format: str = "json") -> None:
-    """Persist the layouts, partitioned by trial; an existing path is an error."""
+def write_layout(
+    layout: DataFrame, path: str, format: str = "json", mode: str = "errorifexists"
+) -> None:
+    """Persist the layouts, partitioned by trial; an existing path is an error by default."""
     out = with_pos(layout) if format == "json" else layout
-    out.write.mode("errorifexists").partitionBy("trial").format(format).save(path)
+    out.write.mode(mode).partitionBy("trial").format(format).save(path)
 
 
 def read_layout(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
@@ -39,4 +41,4 @@ def read_layout(spark: SparkSession, path: str, format: str = "json") -> DataFra
         stored = with_xy(spark.read.schema(_JSON).json(path))
     else:
         stored = spark.read.format(format).load(path)
-    return stored.select(F.col("trial").cast("int").alias("trial"), "id", "x", "y")
+    return stored.select(F.col("trial").cast("bigint").alias("trial"), "id", "x", "y")

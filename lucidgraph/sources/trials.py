@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 TRIALS = T.StructType(
     [
-        T.StructField("trial", T.IntegerType()),
+        T.StructField("trial", T.LongType()),
         T.StructField("c", T.DoubleType()),
         T.StructField("t", T.DoubleType()),
         T.StructField("nc", T.LongType()),

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ann, bpe, chat, decontaminate, jaccard, langid, pii, suffixes, urls, warc
+from . import ann, bpe, chat, decontaminate, jaccard, langid, oracles, pii, suffixes, urls, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: What conversation -1 says.
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 #: host, path, verdict
 URL_RULES = (
     ("com", "/", "allow"),
@@ -54,10 +56,9 @@ def op4_decontaminate(spark, folder):
 
 
 def op5_chat(spark, folder):
-    said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame(
-        [(-1, 0, "user", said), (-1, 1, "assistant", said)],
+        [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)],
         "conv_id long, turn long, role string, text string",
     )
     turned = chat.canonical(chat.records(rows.unionByName(more)), "record")
@@ -131,4 +132,11 @@ QUERIES = {
     "op10_langid": op10_langid,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_warc": oracles.warc_sql(),
+    "op4_decontaminate": oracles.decontaminate_sql(),
+    "op5_chat": oracles.chat_sql(CONTROL_TEXT),
+    "op6_suffixes": oracles.suffixes_sql(),
+    "op7_urls": oracles.urls_sql(URL_RULES),
+    "op8_jaccard": oracles.jaccard_sql(),
+}

@@ -2,12 +2,22 @@
 
 import pytest
 
-from lucidgraph.operators.angles import vertex_angles
-from lucidgraph.operators.crossing import edge_crossing_by_strip
+from lucidgraph.operators import occlusion
+from lucidgraph.operators.angles import minimum_angle, vertex_angles
+from lucidgraph.operators.crossing import (
+    crossing_pairs,
+    edge_crossing_angle,
+    edge_crossing_by_strip,
+    edge_crossing_strips,
+)
 from lucidgraph.operators.exact_crossing import edge_crossing_exact
-from lucidgraph.operators.layout import random_layout, repulsive_forces
-from lucidgraph.operators.messages import locate_edges
-from lucidgraph.operators.occlusion import node_occlusion_grid, occluded_pairs
+from lucidgraph.operators.layout import layout_step, random_layout, repulsive_forces
+from lucidgraph.operators.lengths import edge_length_variation
+from lucidgraph.operators.messages import dangling_edges, locate_edges
+from lucidgraph.operators.occlusion import node_occlusion_grid
+from lucidgraph.operators.raster import layout_raster
+from lucidgraph.operators.report import readability_report
+from lucidgraph.operators.search import random_baseline
 from lucidgraph.sources import samples, vertices_of
 
 from .conftest import DATA
@@ -26,14 +36,27 @@ def graph(spark):
 
 
 OPERATORS = {
-    "occluded_pairs": lambda l, e: occluded_pairs(l, 1.0),
-    "node_occlusion_grid": lambda l, e: node_occlusion_grid(l, 1.0),
+    "occluded_pairs": lambda l, e: occlusion.occluded_pairs(l, 1.0),
+    "node_occlusion": lambda l, e: occlusion.node_occlusion(l, 1.0),
+    "node_occlusion_cellsum": lambda l, e: occlusion.node_occlusion_cellsum(l, 1.0),
+    "node_occlusion_hll": lambda l, e: occlusion.node_occlusion_hll(l, 1.0),
+    "node_occlusion_approx": lambda l, e: occlusion.node_occlusion_approx(l, 1.0),
     "by_strip": lambda l, e: edge_crossing_by_strip(l, e, 1.0),
     "bitwise": lambda l, e: edge_crossing_by_strip(l, e, 1.0, plan="bitwise"),
+    "strips": lambda l, e: edge_crossing_strips(l, e, 1.0),
+    "angle": lambda l, e: edge_crossing_angle(l, e),
+    "crossing_pairs": lambda l, e: crossing_pairs(l, e, 5.0),
     "exact": lambda l, e: edge_crossing_exact(l, e),
     "vertex_angles": lambda l, e: vertex_angles(l, e),
+    "minimum_angle": lambda l, e: minimum_angle(l, e),
+    "lengths": lambda l, e: edge_length_variation(l, e),
+    "raster": lambda l, e: layout_raster(l, e),
+    "report": lambda l, e: readability_report(l, e, g=1.0),
     "locate_edges": lambda l, e: locate_edges(e, l),
+    "dangling": lambda l, e: dangling_edges(e, l, ["trial"]),
     "repulsive_forces": lambda l, e: repulsive_forces(l, 1.0),
+    "layout_step": lambda l, e: layout_step(l, e, 1.0, 1.0),
+    "baseline": lambda l, e: random_baseline(l.select("id"), e, g=1.0),
 }
 
 

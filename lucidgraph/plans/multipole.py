@@ -9,7 +9,9 @@ rest is summed point by point.  ``ORDER`` terms leave a relative error near
 1e-12, the size of the rounding in a plain sum of that many terms.
 
 Everything moves as rows: one expansion per occupied cell, one row per distant
-pair of cells (a bounded number per cell), the points themselves.
+pair of cells (a bounded number per cell), the points themselves.  Points meet
+expansions once, at the smallest cell they are a leaf of: moments are translated
+from children to parents, and fields from parents to children.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from .dominance import key_fields
 ORDER = 44
 # the first level whose cells are paired with all others: at most 64 per layout
 START_LEVEL = 3
+# levels that one job goes through; their shuffles are shared between the levels
+_CHAIN = 4
 _TERMS = [f"c{i}" for i in range(2 * ORDER)]
 _DOUBLES = ", ".join(f"{c} double" for c in _TERMS)
 
@@ -60,44 +64,119 @@ def _offset(batch, level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cx.astype(np.int64), cy.astype(np.int64), (u - cx - 0.5) + 1j * (v - cy - 0.5)
 
 
-def _expansions(points: DataFrame, by: list[str], levels: list[int]) -> DataFrame:
-    """``by, level, cx, cy, c*``: moments of every occupied cell of ``levels``."""
+def _sums(df: DataFrame, key: list[str]) -> DataFrame:
+    return df.groupBy(*key).agg(*[F.sum(c).alias(c) for c in _TERMS])
+
+
+def _leaf_moments(points: DataFrame, by: list[str]) -> DataFrame:
+    """``by, level, cx, cy, c*``: moments of the cells that the points are leaves of."""
+    key = [*by, "level", "cx", "cy"]
 
     def moments(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes = [batch.column(c).dictionary_encode().indices.to_numpy() for c in by]
+            codes = [batch.column(c).dictionary_encode().indices.to_numpy() for c in key]
             w = batch.column("w").to_numpy()
-            for level in levels:
-                cx, cy, z = _offset(batch, level)
-                cell = np.stack([*codes, cx, cy])
-                _, first, group = np.unique(cell, axis=1, return_index=True, return_inverse=True)
-                order = np.argsort(group.reshape(-1), kind="stable")
-                starts = np.searchsorted(group.reshape(-1)[order], np.arange(len(first)))
-                sums = np.add.reduceat((_powers(z) * w[:, None])[order], starts, axis=0)
-                rows = pa.array(first)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[batch.column(c).take(rows) for c in by],
-                        pa.array(np.full(len(first), level, dtype=np.int32)),
-                        pa.array(cx[first]),
-                        pa.array(cy[first]),
-                        *_as_columns(sums),
-                    ],
-                    names=[*by, "level", "cx", "cy", *_TERMS],
-                )
+            _, _, z = _offset(batch, batch.column("level").to_numpy().astype(float))
+            _, first, group = np.unique(
+                np.stack(codes), axis=1, return_index=True, return_inverse=True
+            )
+            order = np.argsort(group.reshape(-1), kind="stable")
+            starts = np.searchsorted(group.reshape(-1)[order], np.arange(len(first)))
+            sums = np.add.reduceat((_powers(z) * w[:, None])[order], starts, axis=0)
+            rows = pa.array(first)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(rows) for c in key], *_as_columns(sums)],
+                names=[*key, *_TERMS],
+            )
 
-    schema = f"{key_fields(points, by)}, level int, cx bigint, cy bigint, {_DOUBLES}"
     # neighbours arrive together, so a batch folds into few cells before it moves
-    coarse = [F.floor(F.col(c) * float(2**START_LEVEL)) for c in ("u", "v")]
-    return (
-        points.repartitionByRange(*by, *coarse, "u", "v")
-        .sortWithinPartitions(*by, *coarse, "u", "v")
-        .mapInArrow(moments, schema)
-        .groupBy(*by, "level", "cx", "cy")
-        .agg(*[F.sum(c).alias(c) for c in _TERMS])
-    )
+    near = points.repartitionByRange(*key, "u", "v").sortWithinPartitions(*key)
+    return _sums(near.mapInArrow(moments, f"{key_fields(points, key)}, {_DOUBLES}"), key)
+
+
+def _quadrants() -> tuple[np.ndarray, np.ndarray]:
+    """(moments of a child to those of its parent, a parent's field to its child's), by quadrant.
+
+    In units of each cell's side: a child's place z is z / 2 + d in its parent.
+    """
+    n = np.arange(ORDER)
+    binomial = np.array([[float(comb(i, j)) for j in n] for i in n])
+    up, down = [], []
+    for quadrant in range(4):
+        d = ((quadrant & 1) - 0.5) / 2 + 1j * ((quadrant >> 1) - 0.5) / 2
+        # d ** (i - j) * 2 ** -j for i >= j; the binomials are 0 elsewhere
+        shift = d ** np.maximum(n[:, None] - n, 0) * 0.5**n * binomial
+        up.append(shift.T)
+        down.append(shift / 2)
+    return np.array(up), np.array(down)
+
+
+def _translated(expansions: DataFrame, by: list[str], upward: bool) -> DataFrame:
+    """Expansions of cells as the shares of their parents, or of parents as those of
+    their children (``child_x``, ``child_y``)."""
+    key = [*by, "level", "cx", "cy"]
+    matrices = _quadrants()[0 if upward else 1]
+
+    def translate(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (
+                batch.column(c).to_numpy()
+                for c in (("cx", "cy") if upward else ("child_x", "child_y"))
+            )
+            quadrant = (x & 1) + 2 * (y & 1)
+            values = _complex(batch, _TERMS)
+            out = np.empty_like(values)
+            for q in range(4):
+                rows = quadrant == q
+                out[rows] = values[rows] @ matrices[q]
+            level = batch.column("level").to_numpy() + (-1 if upward else 1)
+            place = (x >> 1, y >> 1) if upward else (x, y)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in by],
+                    pa.array(level.astype(np.int32)),
+                    *map(pa.array, place),
+                    *_as_columns(out),
+                ],
+                names=[*key, *_TERMS],
+            )
+
+    schema = f"{key_fields(expansions, key)}, {_DOUBLES}"
+    return _sums(expansions.mapInArrow(translate, schema), key)
+
+
+def _all_moments(leaves: DataFrame, by: list[str], levels: list[int]) -> DataFrame:
+    """Moments of the cells of all levels, from the leaves up; only cells move."""
+    key = [*by, "level", "cx", "cy"]
+    leaves, found = materialize(leaves), []
+    for number, level in enumerate(reversed(levels), 1):
+        here = leaves.where(F.col("level") == level)
+        if found:
+            here = _sums(here.unionByName(_translated(found[-1], by, True)), key)
+        found.append(here if number % _CHAIN else materialize(here))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _leaf_fields(
+    own: DataFrame, children: DataFrame, by: list[str], levels: list[int]
+) -> DataFrame:
+    """The field of all distant cells around each cell, with what its parents pass on.
+
+    ``children`` has the cells that are split, once for each occupied child.
+    """
+    key = [*by, "level", "cx", "cy"]
+    own, found = materialize(own), []
+    for number, level in enumerate(levels, 1):
+        here = own.where(F.col("level") == level)
+        if found:
+            passed = found[-1].join(children.where(F.col("level") == level - 1), key)
+            here = _sums(here.unionByName(_translated(passed, by, False)), key)
+        found.append(here if number % _CHAIN else materialize(here))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _local_expansions(far: DataFrame, moments: DataFrame, by: list[str]) -> DataFrame:
@@ -207,8 +286,9 @@ def _near_sums(points: DataFrame, near: DataFrame, by: list[str], levels: list[i
     return rows.groupBy(*key).applyInArrow(add_up, schema)
 
 
-def _evaluate(points: DataFrame, local: DataFrame, by: list[str], levels: list[int]) -> DataFrame:
-    """The distant field at each point, one row per level it gets a share from."""
+def _evaluate(points: DataFrame, local: DataFrame, by: list[str]) -> DataFrame:
+    """The distant field at each point, from the cell it is a leaf of."""
+
     def field(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -228,8 +308,7 @@ def _evaluate(points: DataFrame, local: DataFrame, by: list[str], levels: list[i
 
     schema = f"{key_fields(points, by)}, x double, y double, fx double, fy double"
     return (
-        points.select("*", F.inline(_cells_of(levels)))
-        .join(local.hint("merge"), [*by, "level", "cx", "cy"])
+        points.join(local.hint("merge"), [*by, "level", "cx", "cy"])
         .select(*by, "x", "y", "u", "v", "side", "level", *_TERMS)
         .mapInArrow(field, schema)
     )
@@ -274,19 +353,52 @@ def _expanded_sums(spots: DataFrame, by: list[str]) -> DataFrame:
         )
         return apart > 1, F.lit(False)
 
-    levels, far, near = [], [], []
+    levels, far, near, cells = [], [], [], []
     for level, distant, direct in C.refine(
         points, by, start, classify, True, True, start=START_LEVEL
     ):
         levels.append(level)
-        pair = [*by, F.lit(level).alias("level"), "px", "py", "qx", "qy"]
+        at = F.lit(level).alias("level")
+        pair = [*by, at, "px", "py", "qx", "qy"]
         far.append(distant.select(*pair))
         near.append(direct.select(*pair))
-    moments = _expansions(points, by, levels)
-    local = _local_expansions(functools.reduce(DataFrame.unionByName, far), moments, by)
+        both = distant.select(*pair).unionByName(direct.select(*pair))
+        cells.append(both.select(*by, "level", F.col("px").alias("cx"), F.col("py").alias("cy")))
+    # a point is the leaf of the last level where its cell is in any pair
+    key = [*by, "level", "cx", "cy"]
+    far_pairs = functools.reduce(DataFrame.unionByName, far)
+    used = materialize(functools.reduce(DataFrame.unionByName, cells).distinct())
+    leafed = materialize(
+        points.select("*", F.inline(_cells_of(levels)))
+        .join(used, key)
+        .groupBy(*by, "x", "y", "w", "u", "v", "side")
+        .agg(F.max(F.struct("level", "cx", "cy")).alias("leaf"))
+        .select(*by, "x", "y", "w", "u", "v", "side", "leaf.*")
+    )
+    moments = _all_moments(_leaf_moments(leafed, by), by, levels)
+    children = materialize(
+        functools.reduce(
+            DataFrame.unionByName,
+            [
+                # only as deep as the points' leaves lie
+                C.at_level(leafed.where(F.col("level") >= level).select(*by, "u", "v"), level)
+                .select(
+                    *by,
+                    F.lit(level - 1).alias("level"),
+                    F.shiftright("cx", 1).alias("cx"),
+                    F.shiftright("cy", 1).alias("cy"),
+                    F.col("cx").alias("child_x"),
+                    F.col("cy").alias("child_y"),
+                )
+                .distinct()
+                for level in levels
+            ],
+        )
+    )
+    local = _leaf_fields(_local_expansions(far_pairs, moments, by), children, by, levels)
     adjacent = functools.reduce(DataFrame.unionByName, near)
     return (
-        _evaluate(points, local, by, levels)
+        _evaluate(leafed, local, by)
         .unionByName(_near_sums(points, adjacent, by, levels))
         .groupBy(*by, "x", "y")
         .agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))

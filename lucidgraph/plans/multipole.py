@@ -33,8 +33,6 @@ from .dominance import key_fields
 ORDER = 44
 # the first level whose cells are paired with all others: at most 64 per layout
 START_LEVEL = 3
-# levels that one job goes through; their shuffles are shared between the levels
-_CHAIN = 4
 _TERMS = [f"c{i}" for i in range(2 * ORDER)]
 _DOUBLES = ", ".join(f"{c} double" for c in _TERMS)
 
@@ -153,11 +151,11 @@ def _all_moments(leaves: DataFrame, by: list[str], levels: list[int]) -> DataFra
     """Moments of the cells of all levels, from the leaves up; only cells move."""
     key = [*by, "level", "cx", "cy"]
     leaves, found = materialize(leaves), []
-    for number, level in enumerate(reversed(levels), 1):
+    for level in reversed(levels):
         here = leaves.where(F.col("level") == level)
         if found:
             here = _sums(here.unionByName(_translated(found[-1], by, True)), key)
-        found.append(here if number % _CHAIN else materialize(here))
+        found.append(materialize(here))
     return functools.reduce(DataFrame.unionByName, found)
 
 
@@ -170,12 +168,12 @@ def _leaf_fields(
     """
     key = [*by, "level", "cx", "cy"]
     own, found = materialize(own), []
-    for number, level in enumerate(levels, 1):
+    for level in levels:
         here = own.where(F.col("level") == level)
         if found:
             passed = found[-1].join(children.where(F.col("level") == level - 1), key)
             here = _sums(here.unionByName(_translated(passed, by, False)), key)
-        found.append(here if number % _CHAIN else materialize(here))
+        found.append(materialize(here))
     return functools.reduce(DataFrame.unionByName, found)
 
 

@@ -113,6 +113,15 @@ def test_bpe_long_words():
         assert bpe._merge_long(word, ranks) == [ranks[p] for p in parts]
 
 
+def test_bpe_by_functions(spark):
+    pieces = bpe.read_ranks(Q.RANKS)
+    ranks = {p: i for i, p in enumerate(pieces)}
+    words = ["", " the", "oooooo", " thtionhein", "naïveté", "日本語", "😀😀", "0123456789" * 3, None]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    for r in df.select("word", bpe.word_ids(F.col("word"), pieces).alias("ids")).collect():
+        assert r.ids == (None if r.word is None else bpe.merge(r.word.encode(), ranks) if r.word else [])
+
+
 # --- 2: WARC -----------------------------------------------------------------
 
 PAGES = [

@@ -16,6 +16,7 @@ import base64
 import functools
 import heapq
 import json
+import re
 import zlib
 
 import pyarrow as pa
@@ -23,10 +24,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import added, map_batches
+from .frames import Recent, added, map_batches
 
 #: Words whose ids a worker keeps; when there are more, it starts anew.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 600_000
 
 
 def read_ranks(path: str) -> tuple[bytes, ...]:
@@ -92,24 +93,38 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class _Words(dict):
+@functools.lru_cache(maxsize=2)
+def _words(pieces) -> Recent:
     """Ids by word, filled as words come up."""
+    ranks = {piece: rank for rank, piece in enumerate(pieces)}
+    return Recent(lambda word: tuple(merge(word.encode(), ranks)), KEPT_WORDS // 2)
 
-    def __init__(self, pieces):
-        self.ranks = {piece: rank for rank, piece in enumerate(pieces)}
 
-    def __missing__(self, word):
-        ids = tuple(merge(word.encode(), self.ranks))
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+#: What the classes of a pattern are in ASCII.
+_ASCII = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r\x20", r"\S": r"\x00-\x08\x0e-\x1f!-\x7f"}
 
 
-@functools.lru_cache(maxsize=2)
-def _words(pieces) -> _Words:
-    return _Words(pieces)
+def ascii_pattern(pattern: str) -> str | None:
+    """A pattern with the same matches in ASCII texts for the faster ``re``; None if unsure."""
+    out, inside = [], False
+    for part in regex.findall(r"\\p\{\w+\}|\\.|.", pattern, regex.DOTALL):
+        if part.startswith("\\"):
+            if part not in _ASCII:
+                return None
+            out.append(_ASCII[part] if inside else f"[{_ASCII[part]}]")
+        else:
+            inside = part == "[" or inside and part != "]"
+            out.append(part)
+    return "".join(out)
+
+
+@functools.lru_cache(maxsize=4)
+def finder(pattern: str):
+    """A function that gives the matches of a text."""
+    plain = ascii_pattern(pattern)
+    any_text = regex.compile(pattern).findall
+    ascii_text = any_text if plain is None else re.compile(plain).findall
+    return lambda text: ascii_text(text) if text.isascii() else any_text(text)
 
 
 def encode(
@@ -120,7 +135,7 @@ def encode(
     shared = df.sparkSession.sparkContext.broadcast(pieces)  # of the vocabulary's size
 
     def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, find = _words(shared.value), regex.compile(pattern).findall
+        words, find = _words(shared.value), finder(pattern)
         offsets, out = [0], []
         for value in batch.column(text).to_pylist():
             if value:

@@ -16,6 +16,28 @@ from ..session import scratch_path
 SLICE_BYTES = 8 << 20
 
 
+class Recent(dict):
+    """What ``make(key)`` gives, kept for the last keys that came up.
+
+    Keys in use stay: when ``limit`` new ones have come, those not asked for since
+    the time before go.
+    """
+
+    def __init__(self, make: Callable, limit: int):
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        if len(key) <= 64:
+            self[key] = value
+        return value
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """``stem``, with underscores before it until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

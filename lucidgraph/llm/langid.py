@@ -13,7 +13,10 @@ is ``und``.
 
 from __future__ import annotations
 
+import itertools
 import re
+import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .frames import added, map_batches
+from .frames import Recent, added, map_batches
 
 UNKNOWN = "und"
 #: At most about so many labelled documents are counted, taken by a hash of their text.
@@ -147,50 +150,48 @@ def train(
     return Model(languages, *found, np.array(table), np.log(sums / sums.sum()))
 
 
-class _Scorer(dict):
-    """Log frequencies of words by language, filled as words come up."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.none = np.zeros(len(model.languages))
-
-    def __missing__(self, word: str) -> np.ndarray:
-        model = self.model
-        at = model.words.get(word)
-        if at is not None:
-            scores = model.table[at]
-        else:
-            scores, marked = self.none, f" {word} "
-            for n in LENGTHS:
-                known = [
-                    model.grams[marked[i : i + n]]
-                    for i in range(len(marked) - n + 1)
-                    if marked[i : i + n] in model.grams
-                ]
-                if known:
-                    scores = model.table[known].mean(axis=0)
-                    break
-        if len(self) >= _CACHE:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = scores
-        return scores
-
-
-_SCORERS: dict[int, _Scorer] = {}
-
-
-def _predicted(scorer: _Scorer, text: str | None) -> tuple[str, float]:
+def _scores(model: Model, word: str) -> np.ndarray:
+    """Log frequencies of a word by language: its own, or of its longest known n-grams."""
+    at = model.words.get(word)
+    if at is not None:
+        return model.table[at]
+    marked = f" {word} "
+    for n in LENGTHS:
+        known = [
+            model.grams[marked[i : i + n]]
+            for i in range(len(marked) - n + 1)
+            if marked[i : i + n] in model.grams
+        ]
+        if known:
+            return model.table[known].mean(axis=0)
+    return np.zeros(len(model.languages))
+
+
+_SCORERS: dict[str, tuple[Model, Recent]] = {}
+
+
+def _scorer(name: str, shared) -> tuple[Model, Recent]:
+    """The model of a call, by the call's name, with the words its worker has scored."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        model = shared.value
+        _SCORERS[name] = (model, Recent(lambda w: tuple(_scores(model, w)), _CACHE // 2))
+    return _SCORERS[name]
+
+
+def _predicted(model: Model, scores: Recent, text: str | None) -> tuple[str, float]:
     words = _WORD.findall(text.lower()) if text else []
-    languages = scorer.model.languages
-    if not words or not languages:
+    if not words or not model.languages:
         return UNKNOWN, 0.0
-    sums = scorer.model.prior.copy()
-    for start in range(0, len(words), 4096):
-        sums += np.sum([scorer[w] for w in words[start : start + 4096]], axis=0)
+    sums = model.prior.copy()
+    # a word that comes up often is scored once
+    counts = Counter(words)
+    for some in itertools.batched(counts.items(), 4096):
+        table = np.array([scores[word] for word, _ in some])
+        sums += np.array([count for _, count in some]) @ table
     best = int(np.argmax(sums))
     odds = np.exp(sums - sums[best])
-    return languages[best], float(1.0 / odds.sum())
+    return model.languages[best], float(1.0 / odds.sum())
 
 
 def predict(
@@ -202,14 +203,12 @@ def predict(
 ) -> DataFrame:
     """``df`` with the predicted language and its share of the likelihood (0 to 1)."""
     kept = df.drop(lang_pred, score)
+    name = uuid.uuid4().hex
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the kept words and n-grams
 
     def predicted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if id(shared) not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[id(shared)] = _Scorer(shared.value)
-        scorer = _SCORERS[id(shared)]
-        found = [_predicted(scorer, value) for value in batch.column(text).to_pylist()]
+        scorer = _scorer(name, shared)
+        found = [_predicted(*scorer, value) for value in batch.column(text).to_pylist()]
         return pa.RecordBatch.from_arrays(
             [
                 *batch.columns,

@@ -151,6 +151,11 @@ def shared(rows: pa.Table) -> pa.Table:
     )
 
 
+def release() -> None:
+    """Gives memory that Arrow keeps for later back to the machine, between groups."""
+    pa.default_memory_pool().release_unused()
+
+
 def known(side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(ascending keys, documents) of what the buckets told a group."""
     rows = [

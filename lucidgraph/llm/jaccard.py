@@ -208,6 +208,7 @@ _LIST = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))
 
 def _entries(docs, side, groups: int, limit: int, percent: int) -> pa.Table:
     """Rows ``ACTIVE`` of the sets that may link: list entries or subsets."""
+    H.release()
     keys, counts = H.known(side)
     least = -(-percent * (limit + 1) // 100)
     out = {"doc": [], "n": [], "tokens": [], "list": [], "subsets": []}
@@ -345,6 +346,7 @@ def join(
     stand = one.select("grp", "doc", "k1")
 
     def fingerprints(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        H.release()
         found = [tokens for _, tokens in _wanted(left, right)]
         prints = np.concatenate(found) if found else np.zeros(0, np.uint64)
         return H.send(prints, np.ones(len(prints)), key[0].as_py(), groups)

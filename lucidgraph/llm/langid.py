@@ -38,7 +38,7 @@ LENGTHS = (5, 4, 3, 2, 1)
 LANGUAGES = 500
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose scores a worker keeps.
-_CACHE = 200_000
+_CACHE = 100_000
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

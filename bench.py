@@ -46,7 +46,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
         .appName("bench")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "10g")
         .config("spark.sql.shuffle.partitions", str(4 * int(CPUS)))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -91,6 +91,8 @@ def main() -> None:
         "minimum_angle": on("trade", angles.minimum_angle),
         "edge_length_variation": on("trade", lengths.edge_length_variation),
         "exact_crossing_geography": on("geography", exact.edge_crossing_exact),
+        "exact_crossing_trade": on("trade", exact.edge_crossing_exact, proper=True),
+        "repulsion_purchases": lambda: layouts.repulsive_forces(placed["purchases"], 3.0),
         "layout_step": lambda: layouts.layout_step(placed["geography"], edges["geography"], 3.0, 100.0),
     }
     only = sys.argv[1:]

@@ -165,22 +165,30 @@ def _search(spark, d, path=None):
     )
 
 
-def _search_history(spark, d):
-    path = scratch_path(spark, "sweep")
+_SEARCHES: dict[tuple[str, str], str] = {}
+
+
+def _searched(spark, d) -> str:
+    """The folder of this session's search on the tables of ``d``; a finished one is not repeated."""
+    name = (spark.sparkContext.applicationId, d)
+    path = _SEARCHES.setdefault(name, scratch_path(spark, "sweep"))
     _search(spark, d, path)
+    return path
+
+
+def _search_history(spark, d):
+    path = _searched(spark, d)
     found = read_trials(spark, search.history_path(path))
     return _round(found.drop("nc_t", "ec_t"), "c", "t", "score")
 
 
 def _search_layout(spark, d):
-    path = scratch_path(spark, "sweep")
-    _search(spark, d, path)
+    path = _searched(spark, d)
     return _round(search.best_layout(spark, path), "x", "y")
 
 
 def _search_progress(spark, d):
-    path = scratch_path(spark, "sweep")
-    _search(spark, d, path)
+    path = _searched(spark, d)
     return progress.trial_progress(progress.read_log(spark, path), 6)
 
 

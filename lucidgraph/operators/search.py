@@ -184,7 +184,7 @@ def sweep(
     """
     spark = edges.sparkSession
     path = path or scratch_path(spark, "sweep")
-    baseline = materialize(random_baseline(vertices.select("id"), edges, r, g))
+    baseline = None
     for number in range(rounds):
         first = number * per_round
         history = materialize(read_trials(spark, history_path(path)))
@@ -199,6 +199,8 @@ def sweep(
             best = earlier.orderBy(F.col("score").asc_nulls_last(), "trial").limit(keep).collect()
             trials = _near(best, first, per_round, 0.5**number, spark, seed)
         trials = materialize(trials)
+        if baseline is None:
+            baseline = materialize(random_baseline(vertices.select("id"), edges, r, g))
         lines = Markers(spark, path, number)
         for trial in range(first, first + per_round):
             lines.add(f"##NewIteration:{trial}##")

@@ -147,6 +147,39 @@ def _translated(expansions: DataFrame, by: list[str], upward: bool) -> DataFrame
     return _sums(expansions.mapInArrow(translate, schema), key)
 
 
+def _leaves(located: DataFrame, used: DataFrame, by: list[str]) -> DataFrame:
+    """Points with the cell of the last level where their cell is in any pair.
+
+    ``located`` has a row for each point and level, ``used`` the cells in pairs.
+    """
+    return materialize(
+        located.join(used, [*by, "level", "cx", "cy"])
+        .groupBy(*by, "x", "y", "w", "u", "v", "side")
+        .agg(F.max(F.struct("level", "cx", "cy")).alias("leaf"))
+        .select(*by, "x", "y", "w", "u", "v", "side", "leaf.*")
+    )
+
+
+def _children(leafed: DataFrame, by: list[str], levels: list[int]) -> DataFrame:
+    """``by, level, cx, cy, child_x, child_y``: split cells and their occupied children."""
+    places = leafed.select(*by, "u", "v", F.col("level").alias("leaf"))
+    found = [
+        # only as deep as the points' leaves lie
+        C.at_level(places.where(F.col("leaf") >= level), level)
+        .select(
+            *by,
+            F.lit(level - 1).alias("level"),
+            F.shiftright("cx", 1).alias("cx"),
+            F.shiftright("cy", 1).alias("cy"),
+            F.col("cx").alias("child_x"),
+            F.col("cy").alias("child_y"),
+        )
+        .distinct()
+        for level in levels[1:]
+    ]
+    return materialize(functools.reduce(DataFrame.unionByName, found))
+
+
 def _all_moments(leaves: DataFrame, by: list[str], levels: list[int]) -> DataFrame:
     """Moments of the cells of all levels, from the leaves up; only cells move."""
     key = [*by, "level", "cx", "cy"]
@@ -362,38 +395,16 @@ def _expanded_sums(spots: DataFrame, by: list[str]) -> DataFrame:
         near.append(direct.select(*pair))
         both = distant.select(*pair).unionByName(direct.select(*pair))
         cells.append(both.select(*by, "level", F.col("px").alias("cx"), F.col("py").alias("cy")))
-    # a point is the leaf of the last level where its cell is in any pair
-    key = [*by, "level", "cx", "cy"]
     far_pairs = functools.reduce(DataFrame.unionByName, far)
-    used = materialize(functools.reduce(DataFrame.unionByName, cells).distinct())
-    leafed = materialize(
-        points.select("*", F.inline(_cells_of(levels)))
-        .join(used, key)
-        .groupBy(*by, "x", "y", "w", "u", "v", "side")
-        .agg(F.max(F.struct("level", "cx", "cy")).alias("leaf"))
-        .select(*by, "x", "y", "w", "u", "v", "side", "leaf.*")
-    )
-    moments = _all_moments(_leaf_moments(leafed, by), by, levels)
-    children = materialize(
-        functools.reduce(
-            DataFrame.unionByName,
-            [
-                # only as deep as the points' leaves lie
-                C.at_level(leafed.where(F.col("level") >= level).select(*by, "u", "v"), level)
-                .select(
-                    *by,
-                    F.lit(level - 1).alias("level"),
-                    F.shiftright("cx", 1).alias("cx"),
-                    F.shiftright("cy", 1).alias("cy"),
-                    F.col("cx").alias("child_x"),
-                    F.col("cy").alias("child_y"),
-                )
-                .distinct()
-                for level in levels
-            ],
-        )
-    )
-    local = _leaf_fields(_local_expansions(far_pairs, moments, by), children, by, levels)
+    leafed = points.select("*", F.inline(_cells_of(levels)))
+    if len(levels) == 1:  # nothing to pass on
+        local = _local_expansions(far_pairs, _leaf_moments(leafed, by), by)
+    else:
+        used = functools.reduce(DataFrame.unionByName, cells).distinct()
+        leafed = _leaves(leafed, used, by)
+        moments = _all_moments(_leaf_moments(leafed, by), by, levels)
+        own = _local_expansions(far_pairs, moments, by)
+        local = _leaf_fields(own, _children(leafed, by, levels), by, levels)
     adjacent = functools.reduce(DataFrame.unionByName, near)
     return (
         _evaluate(leafed, local, by)

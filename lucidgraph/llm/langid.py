@@ -13,10 +13,8 @@ is ``und``.
 
 from __future__ import annotations
 
-import itertools
 import re
 import uuid
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .frames import Recent, added, map_batches
+from .frames import added, map_batches
 
 UNKNOWN = "und"
 #: At most about so many labelled documents are counted, taken by a hash of their text.
@@ -37,8 +35,8 @@ LENGTHS = (5, 4, 3, 2, 1)
 #: So many languages at most are learned, the most frequent ones.
 LANGUAGES = 500
 _WORD = re.compile(r"[^\W\d_]+")
-#: Words whose scores a worker keeps.
-_CACHE = 100_000
+#: Unseen words whose scores a worker keeps, and numbers that these are at most.
+_CACHE, _CACHE_CELLS = 300_000, 4_000_000
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -150,11 +148,8 @@ def train(
     return Model(languages, *found, np.array(table), np.log(sums / sums.sum()))
 
 
-def _scores(model: Model, word: str) -> np.ndarray:
-    """Log frequencies of a word by language: its own, or of its longest known n-grams."""
-    at = model.words.get(word)
-    if at is not None:
-        return model.table[at]
+def _unseen(model: Model, word: str) -> np.ndarray:
+    """Log frequencies by language of a word's longest known n-grams."""
     marked = f" {word} "
     for n in LENGTHS:
         known = [
@@ -167,31 +162,59 @@ def _scores(model: Model, word: str) -> np.ndarray:
     return np.zeros(len(model.languages))
 
 
-_SCORERS: dict[str, tuple[Model, Recent]] = {}
+class _Scorer(dict):
+    """The row of each word in ``rows``: the model's own, then those of unseen words."""
 
+    def __init__(self, model: Model):
+        self.model, n = model, len(model.languages)
+        # as many unseen words as the bounds of count and memory allow
+        spare = max(1, min(_CACHE, _CACHE_CELLS // max(n, 1)))
+        self.first = len(model.table)
+        self.rows = np.zeros((self.first + spare, n))
+        self.rows[: self.first] = model.table
+        self.reset()
 
-def _scorer(name: str, shared) -> tuple[Model, Recent]:
-    """The model of a call, by the call's name, with the words its worker has scored."""
+    def reset(self) -> None:
+        self.clear()
+        self.update(self.model.words)
+        self.at = self.first
+
+    def __missing__(self, word: str) -> int:
+        at = self.at
+        self.rows[at] = _unseen(self.model, word)
+        self[word] = at
+        self.at += 1
+        return at
+
+    def total(self, words: list[str]) -> np.ndarray:
+        """The sum of the words' log frequencies by language."""
+        if self.at + len(words) > len(self.rows):
+            self.reset()
+        return self.rows[[self[word] for word in words]].sum(axis=0)
+
+
+_SCORERS: dict[str, _Scorer] = {}
+
+
+def _scorer(name: str, shared) -> _Scorer:
+    """The scorer of a call, by the call's name, with the words its worker has scored."""
     if name not in _SCORERS:
         _SCORERS.clear()
-        model = shared.value
-        _SCORERS[name] = (model, Recent(lambda w: tuple(_scores(model, w)), _CACHE // 2))
+        _SCORERS[name] = _Scorer(shared.value)
     return _SCORERS[name]
 
 
-def _predicted(model: Model, scores: Recent, text: str | None) -> tuple[str, float]:
+def _predicted(scorer: _Scorer, text: str | None) -> tuple[str, float]:
     words = _WORD.findall(text.lower()) if text else []
-    if not words or not model.languages:
+    languages = scorer.model.languages
+    if not words or not languages:
         return UNKNOWN, 0.0
-    sums = model.prior.copy()
-    # a word that comes up often is scored once
-    counts = Counter(words)
-    for some in itertools.batched(counts.items(), 4096):
-        table = np.array([scores[word] for word, _ in some])
-        sums += np.array([count for _, count in some]) @ table
+    sums, step = scorer.model.prior.copy(), min(4096, len(scorer.rows) - scorer.first)
+    for start in range(0, len(words), step):
+        sums += scorer.total(words[start : start + step])
     best = int(np.argmax(sums))
     odds = np.exp(sums - sums[best])
-    return model.languages[best], float(1.0 / odds.sum())
+    return languages[best], float(1.0 / odds.sum())
 
 
 def predict(
@@ -208,7 +231,7 @@ def predict(
 
     def predicted(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer = _scorer(name, shared)
-        found = [_predicted(*scorer, value) for value in batch.column(text).to_pylist()]
+        found = [_predicted(scorer, value) for value in batch.column(text).to_pylist()]
         return pa.RecordBatch.from_arrays(
             [
                 *batch.columns,

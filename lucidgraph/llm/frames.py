@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..session import scratch_path
@@ -83,10 +82,6 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return all_bytes[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def text_of(column: str = "text"):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet below the shared checkpoint folder and read again."""
     path = scratch_path(df.sparkSession, name)

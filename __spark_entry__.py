@@ -25,7 +25,6 @@ from lucidgraph.operators import layout as layouts  # noqa: E402
 from lucidgraph.operators import occlusion, progress, raster, report, search, strips  # noqa: E402
 from lucidgraph.session import materialize, scratch_path  # noqa: E402
 from lucidgraph.sources import (  # noqa: E402
-    TRIALS,
     read_edge_list,
     read_layout,
     read_trials,

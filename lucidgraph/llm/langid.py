@@ -1,7 +1,8 @@
 """Language identification: known words first, then shorter and shorter n-grams.
 
 ``train`` counts words and character n-grams of labelled texts per language in
-Spark and keeps the most frequent ones with their log frequencies; ``predict``
+Spark and keeps those that are among the most frequent ones of any language, each
+with its log frequency in every language; ``predict``
 scores each word of a text by its own log frequency if it is known, else by
 those of its n-grams of the longest length at which any is known.
 
@@ -28,14 +29,15 @@ from .frames import added, map_batches
 UNKNOWN = "und"
 #: At most about so many labelled documents are counted, taken by a hash of their text.
 TRAIN_DOCS = 40_000
-#: So many words, and n-grams of each length, are kept for each language.
+#: The so many most frequent words, and n-grams of each length, of each language are
+#: kept, with their counts in all languages; rarer ones count as never seen in any.
 KEPT_WORDS, KEPT_GRAMS = 20_000, 5_000
 #: Lengths of n-grams, in the order of the fallback.
 LENGTHS = (5, 4, 3, 2, 1)
-#: So many languages at most are learned, the most frequent ones.
-LANGUAGES = 500
+#: N-grams of long words are listed from pieces that begin every so many characters.
+PIECE = 64
 _WORD = re.compile(r"[^\W\d_]+")
-#: Unseen words whose scores a worker keeps, and numbers that these are at most.
+#: Words whose scores a worker keeps, and numbers that these are at most.
 _CACHE, _CACHE_CELLS = 300_000, 4_000_000
 
 
@@ -47,14 +49,30 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies: ``words[w]`` and ``grams[g]`` are positions in ``table``'s rows."""
+    """Log frequencies: ``words[w]`` and ``grams[g]`` are positions ``i`` in ``start``.
+
+    ``base`` holds those of an item never seen; entries ``start[i]`` to ``start[i + 1]``
+    of ``at`` and ``more`` are the languages that have the item and what they add.
+    """
 
     languages: tuple[str, ...]
     words: dict[str, int]
     grams: dict[str, int]
-    table: np.ndarray
+    start: np.ndarray
+    at: np.ndarray
+    more: np.ndarray
+    base: np.ndarray
     prior: np.ndarray
 
+    def mean(self, items: list[int]) -> np.ndarray:
+        """The mean log frequencies by language of the items at these positions."""
+        first = self.start[items]
+        sizes = self.start[np.add(items, 1)] - first
+        ends = np.cumsum(sizes)
+        entries = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
+        more = np.bincount(self.at[entries], self.more[entries], len(self.base))
+        return self.base + more / len(items)
+
 
 def _words_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     langs, found = [], []
@@ -68,8 +86,36 @@ def _words_of(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _top(counts: DataFrame, keys: list[str], kept: int) -> DataFrame:
+    """All counts, in every language, of the items that any language has among its first ones."""
     first = Window.partitionBy(*keys).orderBy(F.desc("count"), "item")
-    return counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= kept)
+    placed = counts.withColumn("place", F.row_number().over(first))
+    best = F.min("place").over(Window.partitionBy("item"))
+    return placed.withColumn("best", best).where(F.col("best") <= kept)
+
+
+def _grams(counts: DataFrame) -> DataFrame:
+    """(lang, item, n, count) of the n-grams of all words, each with a blank on either side."""
+    marked = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
+    # an n-gram belongs to the piece in which it begins
+    pieces = F.transform(
+        F.sequence(F.lit(1), F.length(marked), F.lit(PIECE)),
+        lambda i: F.substring(marked, i, F.lit(PIECE + max(LENGTHS) - 1)),
+    )
+    size = F.length("piece")
+
+    def of_length(n: int) -> Column:
+        last = F.greatest(F.least(size - n + 1, F.lit(PIECE)), F.lit(1))
+        # one argument only: Spark gives a second one, with a default or not, the index
+        listed = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("piece", i, F.lit(n)))
+        return F.when(size >= n, listed).otherwise(F.array().cast("array<string>"))
+
+    n_grams = F.flatten(F.array(*(of_length(n) for n in LENGTHS)))
+    return (
+        counts.select("lang", F.explode(pieces).alias("piece"), "count")
+        .select("lang", F.explode(n_grams).alias("item"), "count")
+        .groupBy("lang", "item", F.length("item").alias("n"))
+        .agg(F.sum("count").alias("count"))
+    )
 
 
 def train(
@@ -97,91 +143,74 @@ def train(
         r["lang"]: r["total"]
         for r in counts.groupBy("lang")
         .agg(F.sum("count").alias("total"))
-        .orderBy(F.desc("total"), "lang")
-        .limit(LANGUAGES)
         .collect()
     }
     languages = tuple(sorted(totals))
     if not languages:
-        return Model((), {}, {}, np.zeros((0, 0)), np.zeros(0))
-    words = [
-        (r["lang"], r["item"], r["count"])
-        for r in _top(counts, ["lang"], kept_words).select("lang", "item", "count").collect()
-    ]
-    marked = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
-    n_grams = F.flatten(
-        F.array(
-            *(
-                F.when(
-                    F.length(marked) >= n,
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))),
-                        lambda i, n=n: F.substring(marked, i, F.lit(n)),
-                    ),
-                ).otherwise(F.array().cast("array<string>"))
-                for n in LENGTHS
-            )
-        )
-    )
-    grams = (
-        # words longer than this are junk or unspaced text; their n-grams add nothing new
-        counts.where(F.length("item") <= 64)
-        .select("lang", F.explode(n_grams).alias("item"), "count")
-        .groupBy("lang", "item", F.length("item").alias("n"))
-        .agg(F.sum("count").alias("count"))
-    )
-    kept = [
-        (r["lang"], r["item"], r["count"])
-        for r in _top(grams, ["lang", "n"], kept_grams).select("lang", "item", "count").collect()
-    ]
+        none = np.zeros(0)
+        return Model((), {}, {}, np.zeros(1, int), np.zeros(0, int), none, none, none)
     place = {language: i for i, language in enumerate(languages)}
     sums = np.array([totals[x] for x in languages], float)
-    table, found = [], ({}, {})
-    for items, index in ((words, found[0]), (kept, found[1])):
-        seen: dict[str, np.ndarray] = {}
-        for language, item, count in items:
-            if language in place:
-                seen.setdefault(item, np.zeros(len(languages)))[place[language]] = count
-        for item in sorted(seen):
-            index[item] = len(table)
-            table.append(np.log((seen[item] + 0.1) / (sums + 1.0)))
-    return Model(languages, *found, np.array(table), np.log(sums / sums.sum()))
-
-
-def _unseen(model: Model, word: str) -> np.ndarray:
-    """Log frequencies by language of a word's longest known n-grams."""
+    found, start, at, seen = ({}, {}), [0], [], []
+    tops = _top(counts, ["lang"], kept_words), _top(_grams(counts), ["lang", "n"], kept_grams)
+    for top, index in zip(tops, found):
+        items: dict[str, list[tuple[int, int]]] = {}
+        for r in top.select("lang", "item", "count").toLocalIterator():
+            items.setdefault(r["item"], []).append((place[r["lang"]], r["count"]))
+        for item in sorted(items):
+            index[item] = len(start) - 1
+            for language, count in items[item]:
+                at.append(language)
+                seen.append(count)
+            start.append(len(at))
+    more = np.log((np.array(seen, float) + 0.1) / 0.1)
+    base = np.log(0.1 / (sums + 1.0))
+    prior = np.log(sums / sums.sum())
+    return Model(languages, *found, np.array(start), np.array(at, np.int32), more, base, prior)
+
+
+def _longest(grams: dict[str, int], word: str) -> list[int]:
+    """Positions of a word's known n-grams of the longest length at which any is known."""
     marked = f" {word} "
     for n in LENGTHS:
-        known = [
-            model.grams[marked[i : i + n]]
-            for i in range(len(marked) - n + 1)
-            if marked[i : i + n] in model.grams
-        ]
+        found = [grams.get(marked[i : i + n]) for i in range(len(marked) - n + 1)]
+        known = [at for at in found if at is not None]
         if known:
-            return model.table[known].mean(axis=0)
-    return np.zeros(len(model.languages))
+            return known
+    return []
 
 
 class _Scorer(dict):
-    """The row of each word in ``rows``: the model's own, then those of unseen words."""
+    """The row of each word in ``rows``, of the words that came up last."""
 
     def __init__(self, model: Model):
         self.model, n = model, len(model.languages)
-        # as many unseen words as the bounds of count and memory allow
-        spare = max(1, min(_CACHE, _CACHE_CELLS // max(n, 1)))
-        self.first = len(model.table)
-        self.rows = np.zeros((self.first + spare, n))
-        self.rows[: self.first] = model.table
-        self.reset()
+        # as many words as the bounds of count and memory allow
+        self.rows = np.zeros((max(1, min(_CACHE, _CACHE_CELLS // max(n, 1))), n))
+        self.at = 0
+        # few languages: each item's row is made once
+        n_items = len(model.start) - 1
+        self.dense = None
+        if n_items * n <= _CACHE_CELLS:
+            self.dense = np.tile(model.base, (n_items, 1))
+            self.dense[np.repeat(np.arange(n_items), np.diff(model.start)), model.at] += model.more
 
     def reset(self) -> None:
         self.clear()
-        self.update(self.model.words)
-        self.at = self.first
+        self.at = 0
 
     def __missing__(self, word: str) -> int:
         at = self.at
-        self.rows[at] = _unseen(self.model, word)
+        known = self.model.words.get(word)
+        items = _longest(self.model.grams, word) if known is None else [known]
+        if not items:
+            self.rows[at] = 0.0
+        elif self.dense is None:
+            self.rows[at] = self.model.mean(items)
+        elif len(items) == 1:
+            self.rows[at] = self.dense[items[0]]
+        else:
+            self.rows[at] = np.add.reduce(self.dense.take(items, axis=0)) / len(items)
         self[word] = at
         self.at += 1
         return at
@@ -209,7 +238,7 @@ def _predicted(scorer: _Scorer, text: str | None) -> tuple[str, float]:
     languages = scorer.model.languages
     if not words or not languages:
         return UNKNOWN, 0.0
-    sums, step = scorer.model.prior.copy(), min(4096, len(scorer.rows) - scorer.first)
+    sums, step = scorer.model.prior.copy(), min(4096, len(scorer.rows))
     for start in range(0, len(words), step):
         sums += scorer.total(words[start : start + step])
     best = int(np.argmax(sums))

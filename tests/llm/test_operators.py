@@ -397,3 +397,36 @@ def test_langid(spark):
     assert found.count() == len(rows)
     empty = langid.train(df.limit(0))
     assert {r.lang_pred for r in langid.predict(df, empty).collect()} == {"und"}
+
+
+def test_langid_counts_in_every_language(spark):
+    rows = [("ba ba ba da da fa", "a"), ("ga ga ga ga da da da ba", "b"), ("q" * 150 + "z", "c")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), kept_words=1)
+    assert set(model.words) == {"ba", "ga", "q" * 150 + "z"}
+    # "ba" is cut from the list of b, where it was counted once of eight words
+    want = [math.log(3.1 / 7), math.log(1.1 / 9), math.log(0.1 / 2)]
+    assert model.mean([model.words["ba"]]).tolist() == pytest.approx(want)
+    want = [math.log((x + 0.1) / (y + 1)) for x, y in ((0, 6), (0, 8), (146, 1))]
+    assert model.mean([model.grams["qqqqq"]]).tolist() == pytest.approx(want)
+    assert {"qqqz ", "z "} <= set(model.grams)
+
+
+def test_langid_many_languages(spark):
+    rows = [(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}", f"l{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    found = langid.predict(df, langid.train(df))
+    assert found.where("lang_pred = lang").count() == 600
+
+
+def test_langid_rows_made_at_once_or_not(monkeypatch):
+    model = langid.Model(
+        ("a", "b"), {"xy": 0}, {"zz": 1, " z": 2}, langid.np.array([0, 1, 3, 4]),
+        langid.np.array([1, 0, 1, 0]), langid.np.array([2.0, 1.0, 3.0, 5.0]),
+        langid.np.array([-7.0, -8.0]), langid.np.zeros(2),
+    )
+    texts = ["xy", "zz", "xy zz", "q"]
+    at_once = [langid._Scorer(model).total(t.split()).tolist() for t in texts]
+    assert at_once == [[-7, -6], [-4, -6.5], [-11, -12.5], [0, 0]]
+    monkeypatch.setattr(langid, "_CACHE_CELLS", 4)
+    scorer = langid._Scorer(model)
+    assert scorer.dense is None and [scorer.total(t.split()).tolist() for t in texts] == at_once

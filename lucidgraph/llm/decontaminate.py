@@ -13,6 +13,10 @@ set must be.  So every document that shares no hash with the signatures is
 settled after one look, and none is lost.  The rest is verified by the exact
 containment of the shingles themselves.
 
+An item of one to four words is one shingle of that length.  It matches only a
+document that consists of just these words; inside longer documents, whose
+shingles all have five words, such items are not searched.
+
 Null and empty texts have no shingles and match nothing.  Rows of equal text are
 judged alike; each item_id and doc_id that has the text gets its row.  Null ids
 are kept as null.  Extra columns are ignored by ``search`` and kept by ``clean``.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucidgraph.llm import bpe, decontaminate, jaccard, langid, pii
-from lucidgraph.llm.frames import stored
+from lucidgraph.llm.frames import free_name, stored
 
 #: A document is rejected when its language has no larger share of the likelihood.
 LEAST_SCORE = 0.5
@@ -24,10 +24,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of similar ones."""
-    found = jaccard.join(docs.select("doc_id", "text"))
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The row of smallest id of each component of similar texts; of equal or no ids, one row."""
+    row = free_name(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = jaccard.join(numbered.select(F.col(row).alias("doc_id"), "text"))
+    members = found.select(F.col("doc_id").alias(row), "component_id").join(
+        numbered.select(row, F.col("doc_id").alias("id")), row
+    )
+    # rows without an id come last
+    order = F.struct(F.col("id").isNull(), "id", row)
+    kept = members.where("component_id is not null").groupBy("component_id").agg(F.min(order)[row].alias("kept"))
+    gone = members.join(kept, "component_id").where(F.col(row) != F.col("kept")).select(row)
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

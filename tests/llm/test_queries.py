@@ -85,3 +85,14 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, FOLDER)
     assert frame.count() == 0
+
+
+def test_near_duplicates_of_equal_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    frame = spark.createDataFrame(
+        [(1, a), (1, a), (None, b), (None, b), (None, a), (2, c), (1, c + " more"), (3, ""), (4, "")],
+        "doc_id long, text string",
+    )
+    # the second text of id 1 is kept for being the smallest of its component
+    want = [(1, a), (None, b), (1, c + " more"), (3, ""), (4, "")]
+    same(corpus_pipeline.near_duplicates(spark, frame, FOLDER), want)

@@ -7,10 +7,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..session import scratch_path
 
+#: A long text is read in pieces of about so many bytes.
+PIECE_BYTES = 1 << 20
+#: Keys of more than one in so many rows are joined apart from the others.
+HOT_SHARE = 1000
 #: Texts of one Arrow batch are handled in slices of about so many bytes.
 SLICE_BYTES = 8 << 20
 
@@ -87,3 +93,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def text_pieces(text: bytes, gaps: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
+    """``text`` in pieces that end where a byte of ``gaps`` stands, so no word is cut."""
+    at = 0
+    while len(text) - at > size:
+        end = at + size
+        while end < len(text) and text[end] not in gaps:
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+def joined_to_classes(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """``rows`` left joined with ``classes`` (one row a key), however common a key is.
+
+    Keys of more than one row in ``HOT_SHARE``, fewer than that many, meet their
+    class in place; only the others are shuffled.
+    """
+    spark = rows.sparkSession
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    share = rows.count() // HOT_SHARE
+    hot = classes.join(F.broadcast(counts.where(F.col("count") > share).select(key)), key).collect()
+    if not share or not hot:
+        return rows.join(classes, key, "left")
+    hot = spark.createDataFrame(hot, T.StructType([classes.schema[c] for c in hot[0].__fields__]))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes, key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(cold)

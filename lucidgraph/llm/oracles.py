@@ -1,12 +1,12 @@
 """DuckDB SQL for the queries that SQL can express.
 
 Not here: token merges (op1), square roots summed in another order (op3), fitted
-models (op9, op10, pipeline); tests/llm compares those with plain versions.
+models (op9, op10, pipeline), XXH64 (op13); tests/llm compares those with plain versions.
 """
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, suffixes
+from . import chat, decontaminate, jaccard, ranked, spelling, suffixes
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -113,3 +113,62 @@ def jaccard_sql() -> str:
     least AS (SELECT u, min(v) AS c FROM reach GROUP BY u)
     SELECT doc_id, len(s) AS n_shingles, coalesce(c, doc_id) AS component_id
     FROM sets LEFT JOIN least ON u = doc_id"""
+
+
+def ranked_sql() -> str:
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    terms = rf"regexp_extract_all({lowered}, '{ranked.TERM}')"
+    return f"""WITH q AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+    d AS (SELECT doc_id, {terms} AS w FROM documents),
+    sizes AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+    whole AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d)
+        WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+        FROM tf, whole GROUP BY term, big_n),
+    m AS (SELECT doc_id, 10 + (90 * n * big_n) // big_l AS m FROM sizes, whole),
+    scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+        FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
+        doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= {ranked.K}"""
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def spelling_sql() -> str:
+    s = spelling
+    byte = "('0x' || substr(h, 2 * i + 1, 2))::BIGINT"
+    return rf"""WITH RECURSIVE runs AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id,
+        translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+        WHERE len(run) >= {s.LEAST_LENGTH} GROUP BY doc_id, run),
+    bytes AS (SELECT doc_id, run, times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs),
+    hashed AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(range(0, len(h) // 2), lambda i: {byte})),
+        lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295) AS c FROM bytes),
+    words AS (SELECT CASE WHEN c % {s.SLIP} = 0
+        THEN substr(run, 1, (c % len(run))::INTEGER) || substr(run, (c % len(run))::INTEGER + 2)
+        ELSE run END AS word, times FROM hashed),
+    vocabulary AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM words
+        WHERE len(word) >= {s.LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {s.LEAST_COUNT}),
+    cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+        FROM (SELECT word, unnest(range(0, len(word))) AS i FROM vocabulary)),
+    pairs AS (SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT cut.word, v.word FROM cut JOIN vocabulary v ON rest = v.word
+        UNION SELECT v.word, cut.word FROM cut JOIN vocabulary v ON rest = v.word),
+    best AS (SELECT pairs.word, count(*) AS n_near, max(n) AS best_n,
+        arg_min(near, (-n, encode(near))) AS best FROM pairs JOIN vocabulary v ON near = v.word GROUP BY pairs.word),
+    formed AS MATERIALIZED (SELECT v.word, n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN best_n >= {s.FORM_RATIO} * n THEN best END AS form,
+        CASE WHEN best_n >= {s.FORM_RATIO} * n THEN best_n END AS form_n FROM vocabulary v LEFT JOIN best USING (word)),
+    chain AS (SELECT word, word AS root FROM formed
+        UNION ALL SELECT chain.word, f.form FROM chain JOIN formed f ON f.word = chain.root WHERE f.form IS NOT NULL)
+    SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN chain USING (word)
+    WHERE root NOT IN (SELECT word FROM formed WHERE form IS NOT NULL)"""

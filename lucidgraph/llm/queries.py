@@ -7,7 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ann, bpe, chat, decontaminate, jaccard, langid, oracles, pii, suffixes, urls, warc
+from . import (
+    ann,
+    bpe,
+    chat,
+    decontaminate,
+    jaccard,
+    langid,
+    oracles,
+    pii,
+    ranked,
+    simhash,
+    spelling,
+    suffixes,
+    urls,
+    warc,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: What conversation -1 says.
@@ -113,6 +128,20 @@ def op10_langid(spark, folder):
     return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_ranked(spark, folder):
+    documents, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return ranked.search(documents, items)
+
+
+def op12_spelling(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return spelling.variants(docs).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_simhash(spark, folder):
+    return simhash.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark, folder):
     import corpus_pipeline
 
@@ -130,6 +159,9 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_pii": op9_pii,
     "op10_langid": op10_langid,
+    "op11_ranked": op11_ranked,
+    "op12_spelling": op12_spelling,
+    "op13_simhash": op13_simhash,
     "pipeline": pipeline,
 }
 ORACLE_SQL = {
@@ -139,4 +171,6 @@ ORACLE_SQL = {
     "op6_suffixes": oracles.suffixes_sql(),
     "op7_urls": oracles.urls_sql(URL_RULES),
     "op8_jaccard": oracles.jaccard_sql(),
+    "op11_ranked": oracles.ranked_sql(),
+    "op12_spelling": oracles.spelling_sql(),
 }

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import re
+import zlib
 from collections import defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -190,3 +191,98 @@ def pii(docs):
         spans = pii_spans(text)
         counts = [sum(k == i for _, k, _ in spans) for i in range(4)]
         yield doc, *counts, sha(",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans))
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+A_TO_Z = {c: c + 32 for c in range(65, 91)}
+
+
+def ranked(docs, items, k=10):
+    """docs: (id, text); items: (id, text), ids distinct."""
+    found = [(d, TERM.findall((t or "").translate(A_TO_Z))) for d, t in docs]
+    found = [(d, w) for d, w in found if w]
+    n_docs, length = len(found), sum(len(w) for _, w in found)
+    df = defaultdict(int)
+    for _, w in found:
+        for t in set(w):
+            df[t] += 1
+    for item, text in items:
+        terms, scores = set(TERM.findall((text or "").translate(A_TO_Z))), []
+        for d, w in found:
+            m = 10 + 90 * len(w) * n_docs // length
+            score = 0
+            for t in terms & set(w):
+                tf = w.count(t)
+                weight = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                score += weight * (10**9 * tf // (1000 * tf + 8 * m))
+            if score > 0:
+                scores.append((-score, math.inf if d is None else d, d))
+        for rank, (score, _, d) in enumerate(sorted(scores, key=lambda s: s[:2])[:k], 1):
+            yield item, rank, d, -score
+
+
+def spelling_counts(docs):
+    counts = defaultdict(int)
+    for d, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(A_TO_Z)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= 6:
+                counts[run] += 1
+    return {w: n for w, n in counts.items() if n >= 5}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(a) + 1 == len(b) and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spelling(counts):
+    """(word, form, root, n, n_near, form_n) of words with their counts."""
+    form = {}
+    for w, n in counts.items():
+        near = [v for v in counts if one_edit(w, v)]
+        best = min(near, key=lambda v: (-counts[v], v), default=None)
+        form[w] = (len(near), best if best and counts[best] >= 5 * n else None)
+    for w, n in counts.items():
+        root = w
+        while form[root][1]:
+            root = form[root][1]
+        n_near, best = form[w]
+        yield w, best, root, n, n_near, counts.get(best)
+
+
+def simhash(docs, radius=4):
+    import xxhash
+
+    prints = []
+    for _, text in docs:
+        words = WORD.findall((text or "").translate(A_TO_Z))
+        shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return [(d, f"{p:016x}", c) for (d, _), p, c in zip(docs, prints, near_prints(docs, prints, radius))]
+
+
+def near_prints(docs, prints, radius):
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, p in enumerate(prints):
+        for j in range(i):
+            if (p ^ prints[j]).bit_count() <= radius:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [least.get(find(i)) for i in range(len(prints))]

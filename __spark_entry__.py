@@ -19,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from lucidgraph.operators import angles, crossing, lengths, messages  # noqa: E402
+from lucidgraph.operators import angles, crossing, guided, lengths, messages  # noqa: E402
 from lucidgraph.operators import exact_crossing as exact  # noqa: E402
 from lucidgraph.operators import layout as layouts  # noqa: E402
 from lucidgraph.operators import occlusion, progress, raster, report, search, strips  # noqa: E402
@@ -160,35 +160,36 @@ def _ends(name):
 def _search(spark, d, path=None):
     edges = materialize(_edges(spark, d, "geography"))
     return search.sweep(
-        materialize(vertices_of(edges)), edges, rounds=2, per_round=3, keep=2, iterations=1, g=5.0, path=path
+        materialize(vertices_of(edges)), edges, rounds=2, per_round=3, keep=2, iterations=1, g=5.0, path=path, guide="near"
     )
 
 
-_SEARCHES: dict[tuple[str, str], str] = {}
-
-
-def _searched(spark, d) -> str:
-    """The folder of this session's search on the tables of ``d``; a finished one is not repeated."""
-    name = (spark.sparkContext.applicationId, d)
-    path = _SEARCHES.setdefault(name, scratch_path(spark, "sweep"))
-    _search(spark, d, path)
-    return path
-
-
 def _search_history(spark, d):
-    path = _searched(spark, d)
+    path = scratch_path(spark, "sweep")
+    _search(spark, d, path)
     found = read_trials(spark, search.history_path(path))
     return _round(found.drop("nc_t", "ec_t"), "c", "t", "score")
 
 
 def _search_layout(spark, d):
-    path = _searched(spark, d)
+    path = scratch_path(spark, "sweep")
+    _search(spark, d, path)
     return _round(search.best_layout(spark, path), "x", "y")
 
 
-def _search_progress(spark, d):
-    path = _searched(spark, d)
-    return progress.trial_progress(progress.read_log(spark, path), 6)
+def _proposed(spark, d):
+    """The next trial of every customer's study, whose trials are its orders and the score their price."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    points = search.trial_candidates(orders.select(F.col("o_orderkey").alias("trial")))
+    scores = orders.select(
+        F.col("o_orderkey").alias("trial"),
+        F.col("o_custkey").alias("study"),
+        (F.col("o_totalprice") / 1000).alias("score"),
+    )
+    found = guided.proposed_trials(points.join(scores, "trial"), by=["study"], candidates=64)
+    return _round(found.drop("place"), "c", "t").withColumn(
+        "expected_improvement", F.round("expected_improvement", 3) + F.lit(0.0)
+    )
 
 
 def _order_history(spark, d):
@@ -412,7 +413,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sweep": lambda s, d: _round(_search(s, d).drop("nc_t", "ec_t"), "c", "t", "score"),
         "sweep_history": _search_history,
         "sweep_best_layout": _search_layout,
-        "sweep_progress": _search_progress,
+        "proposed_trials": _proposed,
         "trial_progress": _progress,
         "stream_trials": _stream,
     }
@@ -646,6 +647,78 @@ def _sweep_sql() -> str:
     scored AS (SELECT * FROM scored1 UNION ALL SELECT * FROM scored2)"""
 
 
+def _odd_products(count: int) -> list[float]:
+    """1, 1 * 3, 1 * 3 * 5 and so on."""
+    out = [1.0]
+    for i in range(1, count):
+        out.append(out[-1] * (2 * i + 1))
+    return out
+
+
+def _proposed_sql() -> str:
+    """The model by Gauss-Jordan elimination on [covariances | values | candidates' covariances].
+
+    Per study and length scale each trial is a row; after the last step the columns are
+    the covariances' inverse times what stood there.
+    """
+    lengths = ", ".join(f"({x}::DOUBLE)" for x in guided.LENGTHS)
+    scaled = ", ".join(
+        f"((({low}::DOUBLE + {_hash_sql('o_orderkey', seed)} * {high - low}::DOUBLE) - {low}::DOUBLE)"
+        f" / {high - low}::DOUBLE) AS {name}"
+        for name, low, high, seed in (("u", 1.0, 20.0, 42), ("v", 0.1, 100.0, 43))
+    )
+    near = ", ".join(
+        f"least(greatest(b.{c} + (s.{c} - 0.5::DOUBLE) * {2 * guided.LOCAL_RADIUS}::DOUBLE, 0), 1) AS {c}"
+        for c in "uv"
+    )
+
+    def matern(a: str, b: str) -> str:
+        d = f"(sqrt(({a}.u - {b}.u) ** 2 + ({a}.v - {b}.v) ** 2) * sqrt(5.0::DOUBLE) / length)"
+        return f"((1 + {d} + {d} * {d} / 3) * exp(-{d}))"
+
+    z = "((best - mean) / deviation)"
+    density = f"(exp(-0.5 * {z} * {z}) / sqrt(2 * pi()))"
+    # Phi(z) = 1/2 + density * (z + z^3/3 + z^5/15 + ...)
+    series = f"list_sum(list_transform(range(0, 70), lambda n: {z} ** (2 * n + 1) / ({_odd_products(70)}::DOUBLE[])[n + 1]))"
+    return f"""WITH RECURSIVE trials AS MATERIALIZED (SELECT o_custkey AS study, {scaled},
+        o_totalprice / 1000 AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+    studies AS (SELECT study, count(*) AS n, avg(score) AS middle,
+        CASE WHEN stddev_pop(score) > 0 THEN stddev_pop(score) ELSE 1 END AS spread,
+        arg_min(u, (score, i)) AS u, arg_min(v, (score, i)) AS v, min(score) AS least FROM trials GROUP BY study),
+    observed AS MATERIALIZED (SELECT study, t.u, t.v, i, n, (score - middle) / spread AS y FROM trials t JOIN studies USING (study)),
+    square AS (SELECT n AS k, {_hash_sql('n', 42)} AS u, {_hash_sql('n', 43)} AS v FROM range(0, 64) AS r(n)),
+    points AS MATERIALIZED (SELECT study, k, s.u, s.v FROM studies CROSS JOIN square s
+        UNION ALL SELECT study, 64 + k, {near} FROM studies b CROSS JOIN square s WHERE k < 16),
+    lengths(length) AS (VALUES {lengths}),
+    own AS (SELECT a.study, length, a.i, list({matern('a', 'b')} + CASE WHEN a.i = b.i THEN {guided.NOISE} ELSE 0 END ORDER BY b.i)
+        || [any_value(a.y)] AS row FROM observed a JOIN observed b USING (study) CROSS JOIN lengths GROUP BY a.study, length, a.i),
+    cross_ AS MATERIALIZED (SELECT a.study, length, i, list({matern('a', 'p')} ORDER BY k) AS row
+        FROM observed a JOIN points p USING (study) CROSS JOIN lengths GROUP BY a.study, length, i),
+    step AS (SELECT study, length, i, 1 AS k, n, own.row || cross_.row AS row, 0::DOUBLE AS log_pivots
+        FROM own JOIN cross_ USING (study, length, i) JOIN studies USING (study)
+        UNION ALL SELECT a.study, a.length, a.i, a.k + 1, a.n,
+            CASE WHEN a.i = p.i THEN list_transform(a.row, lambda x: x / p.row[p.i])
+            ELSE list_transform(list_zip(a.row, p.row), lambda x: x[1] - x[2] * (a.row[p.i] / p.row[p.i])) END,
+            a.log_pivots + ln(p.row[p.i])
+        FROM step a JOIN step p ON a.study = p.study AND a.length = p.length AND a.k = p.k AND p.i = a.k
+        WHERE a.k <= a.n),
+    solved AS MATERIALIZED (SELECT * FROM step WHERE k = n + 1),
+    chosen AS (SELECT study, arg_max(length, (-0.5 * fit - 0.5 * log_pivots, -length)) AS length
+        FROM (SELECT s.study, length, sum(y * row[s.n + 1]) AS fit, any_value(log_pivots) AS log_pivots
+        FROM solved s JOIN observed o ON o.study = s.study AND o.i = s.i GROUP BY s.study, length) GROUP BY study),
+    predicted AS (SELECT s.study, k, sum(kept * row[n + 1]) AS mean, sum(kept * row[n + 2 + k]) AS explained
+        FROM (SELECT solved.study, length, i, solved.n, solved.row, unnest(range(0, 80)) AS k,
+            unnest(cross_.row) AS kept FROM solved JOIN cross_ USING (study, length, i)
+            SEMI JOIN chosen USING (study, length)) s GROUP BY s.study, k),
+    gains AS (SELECT study, k, deviation * spread * CASE WHEN {z} < -8 THEN 0 WHEN {z} > 8 THEN {z}
+            ELSE {z} * (0.5 + {density} * {series}) + {density} END AS gain
+        FROM (SELECT study, k, mean, sqrt(greatest(1 - explained, 1e-12)) AS deviation, spread,
+            (least - middle) / spread AS best FROM predicted JOIN studies USING (study))),
+    top AS (SELECT study, arg_max(k, (gain, -k)) AS k, max(gain) AS gain FROM gains GROUP BY study)
+    SELECT study, round(1.0::DOUBLE + u * 19.0::DOUBLE, 6) + 0.0 AS c, round(0.1::DOUBLE + v * 99.9::DOUBLE, 6) + 0.0 AS t,
+        round(gain, 3) + 0.0 AS expected_improvement FROM top JOIN points USING (study, k)"""
+
+
 def _raster_sql() -> str:
     def pixel(value: str) -> str:
         return f"least(floor({value}), 63)::INTEGER"
@@ -801,9 +874,7 @@ def oracle_sql() -> dict[str, str]:
         "sweep_best_layout": f"""{_sweep_sql()} SELECT trial, id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y
             FROM (SELECT * FROM step1 UNION ALL SELECT * FROM step2)
             WHERE trial = (SELECT trial FROM scored ORDER BY score NULLS LAST, trial LIMIT 1)""",
-        "sweep_progress": """SELECT max(trial) AS trial, 'drawing' AS stage,
-            floor(100.0 * max(trial) / 6)::INTEGER AS percent, 100 AS layout_percent
-            FROM (SELECT 3 * r_regionkey + i AS trial FROM region, range(0, 3) AS t(i) WHERE r_regionkey < 2)""",
+        "proposed_trials": _proposed_sql(),
         "trial_progress": _PROGRESS_SQL,
         "stream_trials": """SELECT count(*) AS trials, min(o_totalprice) AS best_score,
             arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS best_trial FROM orders""",

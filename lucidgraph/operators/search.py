@@ -13,15 +13,12 @@ from ..session import materialize, scratch_path
 from ..sources.layouts import read_layout, write_layout
 from ..sources.trials import TRIALS, read_trials, write_trials
 from .crossing import edge_crossing_strips
+from .guided import C_RANGE, T_RANGE, proposed_trials
 from .layout import as_trials, force_layouts, random_layout
 from .messages import BY
 from .occlusion import node_occlusion
 from .progress import Markers
 
-# searched ranges
-C_RANGE = (1.0, 20.0)
-T_RANGE = (0.1, 100.0)
-
 
 def random_baseline(
     vertices: DataFrame,
@@ -160,6 +157,28 @@ def _near(best: list, first: int, count: int, radius: float, spark, seed: int) -
     return picked.select("trial", around("c", C_RANGE, seed), around("t", T_RANGE, seed + 1))
 
 
+def next_trials(
+    history: DataFrame, first: int, count: int, guide: str, keep: int, radius: float, seed: int
+) -> DataFrame:
+    """``trial, c, t`` of the trials ``first`` and on, from those before.
+
+    ``guide="model"`` asks ``proposed_trials``; ``"near"`` draws around the ``keep`` best.
+    """
+    spark = history.sparkSession
+    earlier = history.where((F.col("trial") < first) & F.col("score").isNotNull())
+    if guide == "near":
+        best = earlier.orderBy("score", "trial").limit(keep).collect()
+        if best:
+            return _near(best, first, count, radius, spark, seed)
+    elif guide != "model":
+        raise ValueError(guide)
+    elif not earlier.isEmpty():
+        trial = (F.lit(first) + F.col("place")).cast("bigint").alias("trial")
+        return proposed_trials(earlier, count, seed=seed).select(trial, "c", "t")
+    # nothing to go by
+    return trial_candidates(spark.range(first, first + count).withColumnRenamed("id", "trial"), seed)
+
+
 def sweep(
     vertices: DataFrame,
     edges: DataFrame,
@@ -173,14 +192,15 @@ def sweep(
     path: str | None = None,
     width: float = 100.0,
     height: float = 100.0,
+    guide: str = "model",
 ) -> DataFrame:
-    """The history of a search: random trials first, then rounds near the best.
+    """The history of a search: random trials first, then rounds that ``next_trials`` proposes.
 
     Below ``path`` (a fresh folder of the shared ones if not given) each round
-    writes its layouts, then its rows of the history and, as it goes, the lines
-    that ``trial_progress`` reads.  A round counts once its history is there; a
-    search that was interrupted goes on after the last such round.  The driver
-    holds the parameters of the ``keep`` best trials and nothing else.
+    writes its layouts, then its rows of the history in a folder of their own and, as
+    it goes, the lines that ``trial_progress`` reads.  A round counts once all of its
+    rows are there; a search that was interrupted goes on after the last such round,
+    and what a broken round left is written over.
     """
     spark = edges.sparkSession
     path = path or scratch_path(spark, "sweep")
@@ -191,13 +211,7 @@ def sweep(
         done = history.where(F.col("trial").between(first, first + per_round - 1)).count()
         if done == per_round:
             continue
-        if number == 0:
-            ids = spark.range(first, first + per_round).withColumnRenamed("id", "trial")
-            trials = trial_candidates(ids, seed)
-        else:
-            earlier = history.where(F.col("trial") < first)
-            best = earlier.orderBy(F.col("score").asc_nulls_last(), "trial").limit(keep).collect()
-            trials = _near(best, first, per_round, 0.5**number, spark, seed)
+        trials = next_trials(history, first, per_round, guide, keep, 0.5**number, seed)
         trials = materialize(trials)
         if baseline is None:
             baseline = materialize(random_baseline(vertices.select("id"), edges, r, g))
@@ -212,7 +226,7 @@ def sweep(
         found = evaluate_trials(
             vertices, edges, trials, baseline, iterations, r, g, layouts=layouts
         )
-        write_trials(found, history_path(path))
+        write_trials(found, f"{history_path(path)}/round={number}", "overwrite")
         lines.write("##Visualizing##")
     return read_trials(spark, history_path(path))
 

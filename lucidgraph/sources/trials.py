@@ -20,15 +20,16 @@ TRIALS = T.StructType(
 )
 
 
-def write_trials(trials: DataFrame, path: str) -> None:
-    """Append a round of trials as a new set of files."""
-    trials.select(*TRIALS.fieldNames()).write.mode("append").json(path)
+def write_trials(trials: DataFrame, path: str, mode: str = "append") -> None:
+    """Append a round of trials as a new set of files, or write it over the last attempt."""
+    trials.select(*TRIALS.fieldNames()).write.mode(mode).json(path)
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
     """The history so far; empty when nothing has been written yet."""
     try:
-        return spark.read.schema(TRIALS).json(path)
+        # the folders of single rounds would add a column
+        return spark.read.schema(TRIALS).json(path).select(*TRIALS.fieldNames())
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -13,6 +13,7 @@ import math
 import sys
 from collections.abc import Callable
 from pathlib import Path
+from statistics import NormalDist
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -143,6 +144,14 @@ def _estimated(layout):
     )
 
 
+def _within(layout):
+    """A count that stops after 40 of 64 parts, with what it says of the rest."""
+    found = occlusion.node_occlusion_within(layout, 0.5, timeout_ms=None, at_most=40)
+    return found.withColumns(
+        {c: F.round(c, 4) + F.lit(0.0) for c in ("node_occlusion", "low", "high")}
+    )
+
+
 def _meeting(spark, d):
     """Each customer's edge to its nation with the edge of the supplier of equal number."""
     edges, layout = _placed(spark, d, "geography")
@@ -333,6 +342,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "purchases", lambda l: occlusion.node_occlusion_approx(l, 1.0, 0.5, 7)
         ),
         "node_occlusion_hll": _of_layout("purchases", _estimated),
+        "node_occlusion_within": _of_layout("purchases", _within),
         # edge crossing
         "strip_segments": _on(
             "geography", lambda l, e: strips.strip_segments(l, e, 1.0), "ly", "ry", "theta"
@@ -719,6 +729,32 @@ def _proposed_sql() -> str:
         round(gain, 3) + 0.0 AS expected_improvement FROM top JOIN points USING (study, k)"""
 
 
+def _within_sql() -> str:
+    """40 of 64 parts of the cells of side 1, and the ratio estimate from them."""
+    cell = "concat_ws(':', px, py)"
+    part = f"floor({_hash_sql(cell, 7)} * 64)::INTEGER"
+    quantile, scale = NormalDist().inv_cdf(0.95), 64 * 64 * (1 - 40 / 64) / 40 / 39
+    return f"""{_placed_sql('purchases')},
+    placed AS MATERIALIZED (SELECT id, x, y, floor(x)::BIGINT AS px, floor(y)::BIGINT AS py FROM layout),
+    cells AS (SELECT px, py, count(*) AS w FROM placed GROUP BY px, py),
+    ring(dx, dy) AS (VALUES (0, 0), (1, -1), (1, 0), (1, 1), (0, 1)),
+    possible AS (SELECT {part} AS part, sum(CASE WHEN dx = 0 AND dy = 0 THEN a.w * (a.w - 1) // 2 ELSE a.w * b.w END) AS z
+        FROM (SELECT px, py, w, dx, dy, px + dx AS qx, py + dy AS qy FROM cells, ring) a
+        JOIN (SELECT px AS qx, py AS qy, w FROM cells) b USING (qx, qy) GROUP BY part),
+    near AS (SELECT a.px, a.py, count(*) AS n FROM (SELECT * FROM placed, ring) a
+        JOIN (SELECT id, x, y, px AS qx, py AS qy FROM placed) b ON b.qx = a.px + dx AND b.qy = a.py + dy
+        AND (a.id < b.id OR dx <> 0 OR dy <> 0) AND {_CLOSE.format(r=0.5)} GROUP BY a.px, a.py),
+    found AS (SELECT {part} AS part, sum(n) AS n FROM near GROUP BY part),
+    counted AS (SELECT coalesce(n, 0)::DOUBLE AS n, z::DOUBLE AS z FROM possible LEFT JOIN found USING (part) WHERE part < 40),
+    sums AS (SELECT sum(n) AS least, sum(z) AS seen, sum(n * n) AS nn, sum(n * z) AS nz, sum(z * z) AS zz,
+        sum(n) / sum(z) AS ratio, (SELECT sum(z) FROM possible)::DOUBLE AS total FROM counted),
+    about AS (SELECT *, least + ratio * (total - seen) AS about, least + (total - seen) AS most, {quantile}
+        * sqrt(greatest(nn - 2 * ratio * nz + ratio * ratio * zz, 0) * {scale}) AS margin FROM sums)
+    SELECT 0 AS trial, round(about, 4) AS node_occlusion, round(greatest(about - margin, least), 4) AS low,
+        round(CASE WHEN about + margin < most THEN about + margin ELSE most END, 4) AS high, least::BIGINT AS least, most::BIGINT AS most, 0.625::DOUBLE AS share
+    FROM about"""
+
+
 def _raster_sql() -> str:
     def pixel(value: str) -> str:
         return f"least(floor({value}), 63)::INTEGER"
@@ -797,6 +833,7 @@ def oracle_sql() -> dict[str, str]:
         "node_occlusion_dense": _occlusion_sql("purchases", 0.2, 1.0),
         "occluded_pairs": f"""{purchases} SELECT 0 AS trial, a.id AS u, b.id AS v
             FROM layout a JOIN layout b ON a.id < b.id AND {_CLOSE.format(r=0.25)}""",
+        "node_occlusion_within": _within_sql(),
         "node_occlusion_hll": f"""{purchases} SELECT 0 AS trial, count(*) AS node_occlusion, true AS within
             FROM layout a JOIN layout b ON a.id < b.id AND {_CLOSE.format(r=0.5)}""",
         "disc_cells": f"""{purchases}{_DISC_SQL} SELECT trial, id, round(x, 6) AS x, round(y, 6) AS y,

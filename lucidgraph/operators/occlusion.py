@@ -8,9 +8,14 @@ until the rows go out.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator, Sequence
-
-from pyspark.sql import Column, DataFrame
+import math
+import time
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from statistics import NormalDist
+
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import floor_div, squared_distance, unit_hash
@@ -58,36 +63,47 @@ def _cell_distance(level: int) -> tuple[Column, Column]:
     return squares(1) < F.lit(1 - 1e-12), squares(-1) > F.lit(1 + 1e-12)
 
 
-def _refine(points: DataFrame, by: list[str], whole: bool) -> Iterator[tuple]:
+def _refine(points: DataFrame, by: list[str], whole: bool, only: Column | None = None) -> Iterator[tuple]:
     """``cells.refine`` from neighbouring cells of side 2r, with the pairs of points
-    to compare; a single join if no cell is crowded."""
+    to compare; a single join if no cell is crowded.
+
+    ``only`` is a condition on the first cell (px, py) of a pair.
+    """
+    some = F.lit(True) if only is None else only
     sizes = C.cell_sizes(points, 0, by)
     if C.largest_cell(sizes) ** 2 <= C.PAIR_BUDGET:
-        yield 0, None, C.nearby_points(points, _HALF_RING, by)
+        yield 0, None, C.nearby_points(points, _HALF_RING, by).where(some)
         return
-    pairs = C.neighbour_pairs(sizes, _HALF_RING, by)
+    pairs = C.neighbour_pairs(sizes, _HALF_RING, by).where(some)
     plan = C.refine(points, by, pairs, _cell_distance, whole, False)
     for level, settled, direct in plan:
         yield level, settled, C.point_pairs(points, direct, level, by)
 
 
-def count_close_pairs(points: DataFrame, r: float, by: Sequence[str]) -> DataFrame:
-    """``by, n``: exact number of unordered pairs closer than 2r, per group.
+def _first_cell(level: int, x: str = "px", y: str = "py") -> list[Column]:
+    """The cell of level 0 that holds a cell of ``level``."""
+    return [F.shiftright(c, level).alias(name) for c, name in ((x, "home_x"), (y, "home_y"))]
 
-    Coincident points fold into one weighted point.  Cells of side 2r are
-    paired with their neighbours; a pair of cells is counted as a whole (all
-    pairs close, or none), compared point by point when that is cheap, or split.
-    """
-    by = list(by)
-    spots = _scaled(points.groupBy(*by, "x", "y").agg(F.count("*").alias("w")), r)
-    parts = [spots.select(*by, F.expr("w * (w - 1) div 2").alias("n"))]
+
+def _close_counts(
+    spots: DataFrame, r: float, by: list[str], only: Column | None = None
+) -> DataFrame:
+    """``by, home_x, home_y, n``: rows whose n add up to the pairs closer than 2r of
+    weighted ``spots``, each with the cell of side 2r that the pair belongs to."""
+    # a spot with itself, as a pair of equal cells
+    own = C.at_level(spots, 0).select(
+        *by, F.col("cx").alias("px"), F.col("cy").alias("py"), F.expr("w * (w - 1) div 2").alias("n")
+    )
+    own = own if only is None else own.where(only)
+    parts = [own.select(*by, *_first_cell(0), "n")]
     same_cell = (F.col("px") == F.col("qx")) & (F.col("py") == F.col("qy"))
     x1, y1, x2, y2 = (F.col(c) for c in ("p_x", "p_y", "q_x", "q_y"))
     spot_order = _once((x1 < x2) | ((x1 == x2) & (y1 < y2)))
-    for level, whole, direct in _refine(spots, by, True):
+    for level, whole, direct in _refine(spots, by, True, only):
+        home = _first_cell(level)
         if whole is not None:
             parts.append(
-                whole.where(~same_cell).select(*by, (F.col("p_w") * F.col("q_w")).alias("n"))
+                whole.where(~same_cell).select(*by, *home, (F.col("p_w") * F.col("q_w")).alias("n"))
             )
             # inside one cell: all pairs of its points, less those of coincident ones
             inner = whole.where(same_cell).select(
@@ -97,15 +113,31 @@ def count_close_pairs(points: DataFrame, r: float, by: Sequence[str]) -> DataFra
                 inner.join(C.at_level(spots, level), [*by, "cx", "cy"])
                 .groupBy(*by, "cx", "cy")
                 .agg(F.expr("(sum(w) * sum(w) - sum(w * w)) div 2").alias("n"))
-                .select(*by, "n")
+                .select(*by, *_first_cell(level, "cx", "cy"), "n")
             )
         parts.append(
             direct.where(spot_order & _close(r)).select(
-                *by, (F.col("p_w") * F.col("q_w")).alias("n")
+                *by, *home, (F.col("p_w") * F.col("q_w")).alias("n")
             )
         )
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _spots(points: DataFrame, r: float, by: list[str]) -> DataFrame:
+    """Coincident points folded into one with a weight ``w``."""
+    return _scaled(points.groupBy(*by, "x", "y").agg(F.count("*").alias("w")), r)
+
+
+def count_close_pairs(points: DataFrame, r: float, by: Sequence[str]) -> DataFrame:
+    """``by, n``: exact number of unordered pairs closer than 2r, per group.
+
+    Coincident points fold into one weighted point.  Cells of side 2r are
+    paired with their neighbours; a pair of cells is counted as a whole (all
+    pairs close, or none), compared point by point when that is cheap, or split.
+    """
+    by = list(by)
     # the sums are combined per task before they move
-    return functools.reduce(DataFrame.unionByName, parts).groupBy(*by).agg(F.sum("n").alias("n"))
+    return _close_counts(_spots(points, r, by), r, by).groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def _close_id_pairs(points: DataFrame, r: float, by: Sequence[str]) -> DataFrame:
@@ -118,7 +150,7 @@ def _close_id_pairs(points: DataFrame, r: float, by: Sequence[str]) -> DataFrame
     by = list(by)
     ids = points.select(*by, "id", "x", "y")
     # one table of spots for all levels
-    spots = materialize(_scaled(ids.groupBy(*by, "x", "y").agg(F.count("*").alias("w")), r))
+    spots = materialize(_spots(ids, r, by))
     x1, y1, x2, y2 = (F.col(c) for c in ("p_x", "p_y", "q_x", "q_y"))
     spot_order = _once((x1 < x2) | ((x1 == x2) & (y1 < y2)))
     close = functools.reduce(
@@ -233,15 +265,121 @@ def node_occlusion_approx(
     return zero_filled(layout, counts, by).select(*by, scaled.alias("node_occlusion"))
 
 
+def _part_of(x: Column, y: Column, parts: int) -> Column:
+    """The part of the work that a cell belongs to, by a hash."""
+    return F.floor(unit_hash(F.concat_ws(":", x, y), 7) * F.lit(parts)).cast("int")
+
+
+def _until(deadline: float, spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame | None:
+    """``build()``, or None if it is not there by the ``deadline``; then its jobs are cancelled."""
+    sc, tag, out, failed = spark.sparkContext, f"occlusion-{uuid.uuid4().hex}", [], []
+
+    def run():
+        sc.addJobTag(tag)
+        try:
+            out.append(build())
+        except Exception as error:  # told apart below
+            failed.append(error)
+        finally:
+            sc.removeJobTag(tag)
+
+    thread = InheritableThread(target=run)
+    thread.start()
+    thread.join(max(0.0, deadline - time.monotonic()) if deadline < math.inf else None)
+    late = thread.is_alive()
+    while thread.is_alive():
+        sc.cancelJobsWithTag(tag)
+        thread.join(0.1)
+    if failed and not late:
+        raise failed[0]
+    return out[0] if out else None
+
+
+def _estimate(found: DataFrame | None, possible: DataFrame, by: list[str], done: int, parts: int, confidence: float):
+    """What ``done`` of ``parts`` say of all of them, by the ratio of found to possible pairs."""
+    seen = possible.where(F.col("part") < done).withColumn("n", F.lit(0).cast("bigint"))
+    rows = seen.select(*by, "part", "n", "z").unionByName(
+        possible.select(*by, "part", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("z"))
+    )
+    if found is not None:
+        rows = rows.unionByName(found.select(*by, "part", "n", F.lit(0).cast("bigint").alias("z")))
+    rows = rows.groupBy(*by, "part").agg(F.sum("n").alias("n"), F.sum("z").alias("z"))
+    total = possible.groupBy(*by).agg(F.sum("z").alias("total"))
+    x, z = F.col("n").cast("double"), F.col("z").cast("double")
+    sums = rows.groupBy(*by).agg(
+        F.sum("n").alias("least"),
+        F.sum("z").alias("seen"),
+        F.sum(x * x).alias("nn"),
+        F.sum(x * z).alias("nz"),
+        F.sum(z * z).alias("zz"),
+    )
+    # each layout has a row on both sides
+    both = sums.unionByName(total, allowMissingColumns=True).groupBy(*by).agg(
+        *[F.max(c).alias(c) for c in ("least", "seen", "nn", "nz", "zz", "total")]
+    )
+    ratio = F.coalesce(F.try_divide("least", "seen"), F.lit(0.0))
+    rest = (F.col("total") - F.col("seen")).cast("double")
+    errors = F.greatest(F.col("nn") - 2.0 * ratio * F.col("nz") + ratio * ratio * F.col("zz"), F.lit(0.0))
+    quantile = NormalDist().inv_cdf(0.5 + confidence / 2)
+    scale = parts * parts * (1 - done / parts) / done / (done - 1) if done > 1 else math.inf
+    about = F.col("least") + ratio * rest
+    margin = F.lit(quantile) * F.sqrt(errors * F.lit(scale)) if done > 1 else F.lit(math.inf)
+    most = F.col("least") + rest
+    return both.select(
+        *by,
+        (about if done else F.lit(None).cast("double")).alias("node_occlusion"),
+        F.greatest(about - margin, F.col("least").cast("double")).alias("low"),
+        F.least(about + margin, most).alias("high"),
+        "least",
+        most.cast("bigint").alias("most"),
+        F.lit(done / parts).alias("share"),
+    )
+
+
 def node_occlusion_within(
     layout: DataFrame,
     r: float = 0.01,
-    timeout_ms: int = 1000,
+    timeout_ms: float | None = 1000,
     confidence: float = 0.9,
     by: Sequence[str] = BY,
-) -> int:
-    """What a time-bounded count of the pairs has reached; depends on the clock."""
-    pairs = occluded_pairs(layout, r, by).select(F.lit(1))
-    # Spark's own rows are counted, none of them becomes a Python object
-    found = pairs._jdf.queryExecution().toRdd().countApprox(timeout_ms, confidence)
-    return int(found.initialValue().mean())
+    parts: int = 64,
+    at_most: int | None = None,
+) -> DataFrame:
+    """``by, node_occlusion, low, high, least, most, share``: a count that stops in time.
+
+    The cells are dealt to ``parts`` by a hash, and one, one, two, four and so on of them are
+    counted until ``timeout_ms`` are over or ``at_most`` of them are done; the jobs that are
+    still running then are cancelled.  Only cell sizes are always made.
+
+    ``share`` of the parts were counted.  ``least`` and ``most`` hold for certain: what
+    was found, and that with all pairs of neighbouring cells in the other parts.
+    ``node_occlusion`` carries the ratio of found to possible pairs over to the other
+    parts (null if none was counted), and the true number lies between ``low`` and
+    ``high`` with the given confidence.  With a ``share`` of 1 all of them are exact.
+    """
+    begin, by, spark = time.monotonic(), list(by), layout.sparkSession
+    deadline = math.inf if timeout_ms is None else begin + timeout_ms / 1000
+    limit = parts if at_most is None else min(at_most, parts)
+    spots = materialize(_spots(layout.select(*by, "x", "y"), r, by))
+    pairs = C.neighbour_pairs(C.cell_sizes(spots, 0, by), _HALF_RING, by)
+    px, py = F.col("px"), F.col("py")
+    same_cell = (px == F.col("qx")) & (py == F.col("qy"))
+    all_pairs = F.when(same_cell, F.expr("p_w * (p_w - 1) div 2")).otherwise(F.col("p_w") * F.col("q_w"))
+    possible = materialize(
+        pairs.groupBy(*by, _part_of(px, py, parts).alias("part")).agg(F.sum(all_pairs).alias("z"))
+    )
+    found, done = None, 0
+    while done < limit and time.monotonic() < deadline:
+        upto = min(max(1, 2 * done), limit)
+        part = _part_of(px, py, parts)
+
+        def counted(low=done, high=upto, part=part) -> DataFrame:
+            rows = _close_counts(spots, r, by, (part >= low) & (part < high))
+            home = _part_of(F.col("home_x"), F.col("home_y"), parts)
+            return materialize(rows.groupBy(*by, home.alias("part")).agg(F.sum("n").alias("n")))
+
+        step = _until(deadline, spark, counted)
+        if step is None:
+            break
+        found, done = step if found is None else found.unionByName(step), upto
+    return _estimate(found, possible, by, done, parts, confidence)

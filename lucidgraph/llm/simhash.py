@@ -12,9 +12,10 @@ radius apart.  Hence the fingerprints of a variant need not be paired: each link
 the smallest of them, and a variant that thousands share costs thousands of links.  The
 radius has to be even.
 
-Variants travel twice.  First as 40 bits of a hash, sorted and compressed, a row for each
-group of fingerprints and bucket of variants; a bucket answers which of them came up
-more than once.  Then only those, in full, with their fingerprints.
+Variants travel twice.  First as ``LOW_BITS`` bits of a hash within their bucket, sorted and
+compressed, a row for each group of fingerprints and bucket of variants; a bucket answers
+which of them came up more than once (a chance meeting costs a look, not a result).  Then
+only those, in full, with their fingerprints.
 
 Cases: a null text is empty; very long texts are read in pieces; an empty table gives no
 rows; equal rows stay separate rows of one component; a row with a null id keeps its
@@ -40,6 +41,8 @@ from .frames import joined_to_classes, map_batches, stored, text_pieces
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Variants of the fingerprints that are one group, and of those that are one bucket.
 GROUP_VARIANTS = BUCKET_VARIANTS = 4 << 20
+#: Bits that tell the variants of a bucket apart: one in 4,000 meets another by chance.
+LOW_BITS = 34
 _SPACES = bytes([9, 10, 11, 12, 13, 32])
 
 
@@ -88,18 +91,29 @@ def _variants(prints: np.ndarray, change: np.ndarray) -> np.ndarray:
     return prints.view(np.uint64)[:, None] ^ change[None, :]
 
 
+def _keys(variants: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and low bits of the hash of each variant, in one word."""
+    hashes, shift = H.mix(variants), np.uint64(LOW_BITS)
+    bucket = (hashes >> shift) % np.uint64(buckets)
+    return (bucket << shift) | (hashes & ((np.uint64(1) << shift) - np.uint64(1)))
+
+
+def _bucket_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(LOW_BITS)).astype(np.int64)
+
+
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _sent(rows: pa.Table, grp: int, change: np.ndarray, buckets: int) -> pa.Table:
     """(bucket, grp, prints): the variants of a group; one that came up again, twice."""
-    keys = H.keys_of(H.mix(_variants(_numbers(rows, "print"), change).ravel()), buckets)
+    keys = _keys(_variants(_numbers(rows, "print"), change).ravel(), buckets)
     keys.sort()
     keep = np.ones(len(keys), bool)
     keep[2:] = keys[2:] != keys[:-2]
     keys = keys[keep]
-    bucket = (keys >> np.uint64(40)).astype(np.int64)
+    bucket = _bucket_of(keys)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     ends = np.r_[starts[1:], len(keys)]
     return pa.table(
@@ -138,10 +152,10 @@ def _meeting(rows: pa.Table, side: pa.Table, change: np.ndarray, buckets: int) -
     if told and len(prints):
         again = np.sort(np.concatenate(told))
         variants = _variants(prints, change).ravel()
-        keys = H.keys_of(H.mix(variants), buckets)
+        keys = _keys(variants, buckets)
         place = np.minimum(np.searchsorted(again, keys), len(again) - 1)
         meets = np.flatnonzero(again[place] == keys)
-        bucket = (keys[meets] >> np.uint64(40)).astype(np.int64)
+        bucket = _bucket_of(keys[meets])
         order = np.argsort(bucket, kind="stable")
         meets, bucket = meets[order], bucket[order]
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []

@@ -199,7 +199,9 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     groups = max(1, math.ceil(total / GROUP_VARIANTS))
     buckets = max(1, math.ceil(total / BUCKET_VARIANTS))
     grp = F.pmod(F.xxhash64("print"), F.lit(groups)).cast("int")
-    grouped = prints.select(grp.alias("grp"), "print").groupBy("grp")
+    # few small rows in, many large ones out: a number of partitions that stays
+    rows = prints.select(grp.alias("grp"), "print").repartition(groups, "grp")
+    grouped = rows.groupBy("grp")
 
     def send(key, rows):
         H.release()
@@ -207,7 +209,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     sent = grouped.applyInArrow(send, "bucket int, grp int, prints binary")
     told = sent.groupBy("bucket").applyInArrow(_told, "grp int, prints binary")
-    meeting = grouped.cogroup(told.groupBy("grp")).applyInArrow(
+    meeting = grouped.cogroup(told.repartition(groups, "grp").groupBy("grp")).applyInArrow(
         lambda rows, side: _meeting(rows, side, change, buckets),
         "bucket int, variants binary, owners binary",
     )

@@ -6,20 +6,25 @@ with its log frequency in every language; ``predict``
 scores each word of a text by its own log frequency if it is known, else by
 those of its n-grams of the longest length at which any is known.
 
-Words are runs of letters, lower-cased.  A null text, or one without a letter,
-is ``und`` with score 0.  Ties go to the language first in the alphabet.  Texts
-are read whole; extra columns are kept.  Without any labelled text every text
-is ``und``.
+Words are runs of letters with the marks on them, lower-cased.  A null or empty text, or
+one without a letter, is ``und`` with score 0.  A word of which nothing is known, as of a
+script that no language has, says nothing; ``known`` is the share of words that are known
+themselves or by an n-gram of three characters or more.  Ties go to the language first in
+the alphabet.  Texts are read whole, however long; repeated rows count once in training
+and are predicted each; extra columns are kept, those named as the results replaced.
+Without any labelled text, and for empty tables, every text is ``und``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +32,19 @@ from ..session import materialize
 from .frames import added, map_batches
 
 UNKNOWN = "und"
-#: At most about so many labelled documents are counted, taken by a hash of their text.
+#: At most about so many different labelled texts are counted, shared among the languages
+#: (all of a language that has fewer than its share) and taken by a hash.
 TRAIN_DOCS = 40_000
-#: The so many most frequent words, and n-grams of each length, of each language are
+#: About the so many most frequent words, and n-grams of each length, of each language are
 #: kept, with their counts in all languages; rarer ones count as never seen in any.
 KEPT_WORDS, KEPT_GRAMS = 20_000, 5_000
 #: Lengths of n-grams, in the order of the fallback.
 LENGTHS = (5, 4, 3, 2, 1)
+#: Shorter n-grams are no evidence that a word is of a known language.
+LEAST_EVIDENCE = 3
 #: N-grams of long words are listed from pieces that begin every so many characters.
 PIECE = 64
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _ASCII_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*"), re.compile("[a-z]+")
 #: Words whose scores a worker keeps, and numbers that these are at most.
 _CACHE, _CACHE_CELLS = 300_000, 4_000_000
 
@@ -47,6 +55,12 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, in order."""
+    text = text.lower()
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+
+
 @dataclass(frozen=True)
 class Model:
     """Log frequencies: ``words[w]`` and ``grams[g]`` are positions ``i`` in ``start``.
@@ -77,7 +91,7 @@ class Model:
 def _words_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     langs, found = [], []
     for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-        words = _WORD.findall(text.lower())
+        words = words_of(text)
         found += words
         langs += [lang] * len(words)
     return pa.RecordBatch.from_arrays(
@@ -86,11 +100,19 @@ def _words_of(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _top(counts: DataFrame, keys: list[str], kept: int) -> DataFrame:
-    """All counts, in every language, of the items that any language has among its first ones."""
-    first = Window.partitionBy(*keys).orderBy(F.desc("count"), "item")
-    placed = counts.withColumn("place", F.row_number().over(first))
-    best = F.min("place").over(Window.partitionBy("item"))
-    return placed.withColumn("best", best).where(F.col("best") <= kept)
+    """All counts, in every language, of the items that any language has among its first ones.
+
+    How often an item must occur for that is read from the numbers of items of equal
+    count, so no task sees all items of a language.  Items of the count at the edge are
+    in if that keeps twice ``kept`` at most, else out.
+    """
+    sizes = counts.groupBy(*keys, "count").agg(F.count("*").alias("size"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("count"))
+    reached = sizes.withColumn("reached", F.sum("size").over(order))
+    fits = (F.col("reached") <= kept) | ((F.col("reached") - F.col("size") < kept) & (F.col("reached") <= 2 * kept))
+    least = reached.where(fits).groupBy(*keys).agg(F.min("count").alias("least"))
+    first = counts.join(least, keys).where(F.col("count") >= F.col("least")).select("item").distinct()
+    return counts.join(first, "item", "left_semi")
 
 
 def _grams(counts: DataFrame) -> DataFrame:
@@ -113,11 +135,35 @@ def _grams(counts: DataFrame) -> DataFrame:
     return (
         counts.select("lang", F.explode(pieces).alias("piece"), "count")
         .select("lang", F.explode(n_grams).alias("item"), "count")
+        .where(F.col("item") != " ")  # every word has it
         .groupBy("lang", "item", F.length("item").alias("n"))
         .agg(F.sum("count").alias("count"))
     )
 
 
+def _shares(rows: DataFrame, train_docs: int) -> dict[str, float]:
+    """The share of the different texts of each language that training reads."""
+    texts = rows.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    sizes = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
+    rest, quota = train_docs, {}
+    for i, (language, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        quota[language] = min(size, rest / (len(sizes) - i))
+        rest -= quota[language]
+    return {language: quota[language] / size for language, size in sizes.items()}
+
+
+def _sampled(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Different texts of each language, by their hash."""
+    spark = rows.sparkSession
+    limits = [(x, math.ceil(share * (1 << 20))) for x, share in shares.items()]
+    limits = spark.createDataFrame(limits, "lang string, below long")  # a row a language
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    drawn = hashed.join(F.broadcast(limits), "lang").where(
+        F.pmod(F.xxhash64("hash"), F.lit(1 << 20)) < F.col("below")
+    )
+    return drawn.dropDuplicates(["lang", "hash"]).select("lang", "text")
+
+
 def train(
     labelled: DataFrame,
     text: str = "text",
@@ -130,9 +176,8 @@ def train(
     rows = labelled.select(
         F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
     ).dropna()
-    total = rows.count()
-    share = min(1.0, train_docs / max(total, 1))
-    sample = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < share * (1 << 20))
+    shares = _shares(rows, train_docs)
+    sample = _sampled(rows, shares)
     counts = (
         map_batches(sample, _words_of, "lang string, word string")
         .groupBy("lang", F.col("word").alias("item"))
@@ -165,19 +210,21 @@ def train(
             start.append(len(at))
     more = np.log((np.array(seen, float) + 0.1) / 0.1)
     base = np.log(0.1 / (sums + 1.0))
-    prior = np.log(sums / sums.sum())
+    # as many words as the language would have if all of its texts had been read
+    whole = sums / np.array([shares[x] for x in languages])
+    prior = np.log(whole / whole.sum())
     return Model(languages, *found, np.array(start), np.array(at, np.int32), more, base, prior)
 
 
-def _longest(grams: dict[str, int], word: str) -> list[int]:
-    """Positions of a word's known n-grams of the longest length at which any is known."""
+def _longest(grams: dict[str, int], word: str) -> tuple[int, list[int]]:
+    """(length, positions) of a word's known n-grams of the longest length at which any is known."""
     marked = f" {word} "
     for n in LENGTHS:
         found = [grams.get(marked[i : i + n]) for i in range(len(marked) - n + 1)]
         known = [at for at in found if at is not None]
         if known:
-            return known
-    return []
+            return n, known
+    return 0, []
 
 
 class _Scorer(dict):
@@ -186,7 +233,8 @@ class _Scorer(dict):
     def __init__(self, model: Model):
         self.model, n = model, len(model.languages)
         # as many words as the bounds of count and memory allow
-        self.rows = np.zeros((max(1, min(_CACHE, _CACHE_CELLS // max(n, 1))), n))
+        # the last column: whether the word is evidence of a known language
+        self.rows = np.zeros((max(1, min(_CACHE, _CACHE_CELLS // max(n, 1))), n + 1))
         self.at = 0
         # few languages: each item's row is made once
         n_items = len(model.start) - 1
@@ -202,25 +250,30 @@ class _Scorer(dict):
     def __missing__(self, word: str) -> int:
         at = self.at
         known = self.model.words.get(word)
-        items = _longest(self.model.grams, word) if known is None else [known]
+        length, items = _longest(self.model.grams, word) if known is None else (LEAST_EVIDENCE, [known])
         if not items:
-            self.rows[at] = 0.0
+            self.rows[at, :-1] = 0.0
         elif self.dense is None:
-            self.rows[at] = self.model.mean(items)
+            self.rows[at, :-1] = self.model.mean(items)
         elif len(items) == 1:
-            self.rows[at] = self.dense[items[0]]
+            self.rows[at, :-1] = self.dense[items[0]]
         else:
-            self.rows[at] = np.add.reduce(self.dense.take(items, axis=0)) / len(items)
+            self.rows[at, :-1] = np.add.reduce(self.dense.take(items, axis=0)) / len(items)
+        self.rows[at, -1] = length >= LEAST_EVIDENCE
         self[word] = at
         self.at += 1
         return at
 
-    def total(self, words: list[str]) -> np.ndarray:
-        """The sum of the words' log frequencies by language."""
+    def sums(self, words: list[str]) -> np.ndarray:
+        """The sum of the words' log frequencies by language, then the words that are evidence."""
         if self.at + len(words) > len(self.rows):
             self.reset()
         return self.rows[[self[word] for word in words]].sum(axis=0)
 
+    def total(self, words: list[str]) -> np.ndarray:
+        """The sum of the words' log frequencies by language."""
+        return self.sums(words)[:-1]
+
 
 _SCORERS: dict[str, _Scorer] = {}
 
@@ -233,17 +286,18 @@ def _scorer(name: str, shared) -> _Scorer:
     return _SCORERS[name]
 
 
-def _predicted(scorer: _Scorer, text: str | None) -> tuple[str, float]:
-    words = _WORD.findall(text.lower()) if text else []
+def _predicted(scorer: _Scorer, text: str | None) -> tuple[str, float, float]:
+    words = words_of(text) if text else []
     languages = scorer.model.languages
     if not words or not languages:
-        return UNKNOWN, 0.0
-    sums, step = scorer.model.prior.copy(), min(4096, len(scorer.rows))
+        return UNKNOWN, 0.0, 0.0
+    sums, step = np.append(scorer.model.prior, 0.0), min(4096, len(scorer.rows))
     for start in range(0, len(words), step):
-        sums += scorer.total(words[start : start + step])
+        sums += scorer.sums(words[start : start + step])
+    known, sums = sums[-1] / len(words), sums[:-1]
     best = int(np.argmax(sums))
     odds = np.exp(sums - sums[best])
-    return languages[best], float(1.0 / odds.sum())
+    return languages[best], float(1.0 / odds.sum()), float(known)
 
 
 def predict(
@@ -252,9 +306,14 @@ def predict(
     text: str = "text",
     lang_pred: str = "lang_pred",
     score: str = "score",
+    known: str | None = None,
 ) -> DataFrame:
-    """``df`` with the predicted language and its share of the likelihood (0 to 1)."""
-    kept = df.drop(lang_pred, score)
+    """``df`` with the predicted language and its share of the likelihood (0 to 1).
+
+    With ``known``, a column of that name has the share of words that are evidence.
+    """
+    more = {lang_pred: "string", score: "double"} | ({known: "double"} if known else {})
+    kept = df.drop(*more)
     name = uuid.uuid4().hex
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the kept words and n-grams
 
@@ -265,10 +324,9 @@ def predict(
             [
                 *batch.columns,
                 pa.array([x[0] for x in found], pa.string()),
-                pa.array([x[1] for x in found], pa.float64()),
+                *(pa.array([x[i] for x in found], pa.float64()) for i in range(1, len(more))),
             ],
-            names=[*batch.schema.names, lang_pred, score],
+            names=[*batch.schema.names, *more],
         )
 
-    fields = {lang_pred: "string", score: "double"}
-    return map_batches(kept, predicted, added(kept, **fields))
+    return map_batches(kept, predicted, added(kept, **more))

@@ -286,3 +286,47 @@ def near_prints(docs, prints, radius):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
     return [least.get(find(i)) for i in range(len(prints))]
+
+
+def language(rows, texts):
+    """(lang, score, known) of texts by counts of all labelled rows (text, lang), none of them cut."""
+    import regex
+
+    def words(text):
+        return regex.findall(r"\p{L}[\p{L}\p{M}]*", (text or "").lower())
+
+    def grams(word, n):
+        marked = f" {word} "
+        return [g for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g != " "]
+
+    counts, n_grams = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int))
+    for text, lang in set(rows):
+        if text is not None and lang is not None:
+            for word in words(text):
+                counts[lang][word] += 1
+                for n in range(1, 6):
+                    for g in grams(word, n):
+                        n_grams[lang][g] += 1
+    langs = sorted(counts)
+    sums = {x: sum(counts[x].values()) for x in langs}
+    for text in texts:
+        found = words(text)
+        if not found or not langs:
+            yield "und", 0.0, 0.0
+            continue
+        score, known = {x: math.log(sums[x] / sum(sums.values())) for x in langs}, 0
+        for word in found:
+            table, items = counts, [word]
+            length = 3
+            if not any(word in counts[x] for x in langs):
+                table, items = n_grams, []
+                for length in (5, 4, 3, 2, 1):
+                    items = [g for g in grams(word, length) if any(g in n_grams[x] for x in langs)]
+                    if items:
+                        break
+            known += bool(items) and length >= 3
+            for x in langs:
+                for item in items:
+                    score[x] += math.log((table[x].get(item, 0) + 0.1) / (sums[x] + 1)) / len(items)
+        best = max(langs, key=lambda x: (score[x], -langs.index(x)))
+        yield best, 1 / sum(math.exp(score[x] - score[best]) for x in langs), known / len(found)

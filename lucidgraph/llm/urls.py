@@ -96,7 +96,7 @@ def judge(
         F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths")
     ).first()
     host, path = host_and_path(F.col(url).cast("string"))
-    hash_name = free_name(pages, "url_key")
+    hash_name, best_name = free_name(pages, "url_key"), free_name(pages, "best")
     kept = pages.drop("host", "path", "rule", "verdict")
     located = kept.withColumns({"host": host, "path": path})
     located = located.withColumn(hash_name, F.concat_ws("\n", "host", "path"))
@@ -140,12 +140,12 @@ def judge(
     best = (
         hits.join(exact, "key")
         .groupBy(hash_name)
-        .agg(F.max_by(F.struct("rule", "verdict"), order).alias("best"))
+        .agg(F.max_by(F.struct("rule", "verdict"), order).alias(best_name))
     )
     judged = located.join(best, hash_name, "left")
     return judged.withColumns(
         {
-            "rule": F.col("best.rule"),
-            "verdict": F.coalesce(F.col("best.verdict"), F.lit(default)),
+            "rule": F.col(best_name)["rule"],
+            "verdict": F.coalesce(F.col(best_name)["verdict"], F.lit(default)),
         }
-    ).drop(hash_name, "best")
+    ).drop(hash_name, best_name)

@@ -1,4 +1,11 @@
-"""A training corpus from ``documents``: five stages, each over all that the last one kept."""
+"""A training corpus from ``documents``: five stages, each over all that the last one kept.
+
+``documents`` has doc_id, text and lang; other columns pass through whatever their names
+are, ``n_chars`` too where there is one.  Null and empty texts, and those without a letter,
+have no language and go in the first stage; very long texts are read whole by all of them.
+Rows without an id, and several of one id, are rows of their own; of equal texts one row
+stays.  An empty table stays empty.  The last stage replaces columns named as its results.
+"""
 
 from __future__ import annotations
 
@@ -13,13 +20,18 @@ from lucidgraph.llm.frames import free_name, stored
 
 #: A document is rejected when its language has no larger share of the likelihood.
 LEAST_SCORE = 0.5
+#: Or when no larger share of its words is known, as in a language or script not learned.
+LEAST_KNOWN = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without letters and undecided ones go."""
+    """Documents whose language is known; those without letters, undecided ones and those
+    of mostly unknown words go."""
     labelled = docs.where(~langid.held_out()).select("text", "lang")
-    scored = langid.predict(docs, langid.train(labelled), lang_pred="_lang", score="_score")
-    kept = (F.col("_lang") != langid.UNKNOWN) & (F.col("_score") > LEAST_SCORE)
+    names = [free_name(docs, name) for name in ("lang_pred", "score", "known")]
+    scored = langid.predict(docs, langid.train(labelled), "text", *names)
+    found, score, known = (F.col(name) for name in names)
+    kept = (found != langid.UNKNOWN) & (score > LEAST_SCORE) & (known > LEAST_KNOWN)
     return scored.where(kept).select(*docs.columns)
 
 
@@ -46,16 +58,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark for each span of personal data; ``n_chars`` follows."""
-    found = pii.find(docs, pii.fit(docs), base="_base", spans="_spans")
-    masked = found.withColumn("text", pii.masked(F.col("text"), F.col("_spans")))
-    changed = F.when(F.size("_spans") > 0, F.length("text").cast("long"))
-    masked = masked.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
+    base, spans = free_name(docs, "base"), free_name(docs, "spans")
+    found = pii.find(docs, pii.fit(docs), base=base, spans=spans)
+    masked = found.withColumn("text", pii.masked(F.col("text"), F.col(spans)))
+    if "n_chars" in docs.columns:
+        changed = F.when(F.size(spans) > 0, F.length("text").cast("long"))
+        masked = masked.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
     return masked.select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
     pieces = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = docs.drop("ids", "n_tokens", "round_trip")
     encoded = bpe.encode(docs, pieces, public_tokenizers.PATTERN)
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return encoded.select(

@@ -38,9 +38,7 @@ from lucidgraph.streaming import stream_trials  # noqa: E402
 
 try:
     from lucidgraph.llm import queries as _llm
-except ModuleNotFoundError as missing:  # the folder may be left out
-    if not (missing.name or "").startswith("lucidgraph.llm"):
-        raise
+except ImportError:  # the folder, or something that it needs, may be left out
     _llm = None
 
 _GRAPHS = {

@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import re
 import struct
 import uuid
@@ -37,6 +38,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 256 << 20
 #: Neighbouring records within so many bytes are read by one task.
 READ_BYTES = 4 << 20
+#: Packed bytes that a task reads, on average; a task for each package at least.
+TASK_BYTES = 16 << 20
 # Fixed values of the WARC and ZIP formats.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FULL16, _FULL32 = 0xFFFF, 0xFFFFFFFF
@@ -337,10 +340,17 @@ def _read(batches):
 
 def read_packages(packages: DataFrame) -> DataFrame:
     """All records of the packages in column ``path``."""
-    where = packages.select("path").repartition("path").mapInArrow(
-        _located, "path string, offset long, length long"
+    # index rows are few bytes for much to read: numbers of partitions that stay
+    files = packages.agg(F.count_distinct("path")).first()[0]
+    where = stored(
+        packages.select("path").repartition(max(1, files), "path").mapInArrow(
+            _located, "path string, offset long, length long"
+        ),
+        "located",
     )
-    near = where.repartition("path", F.floor(F.col("offset") / READ_BYTES))
+    total = where.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, files, math.ceil(total / TASK_BYTES))
+    near = where.repartitionByRange(tasks, "path", "offset")
     return near.sortWithinPartitions("path", "offset").mapInArrow(
         _read,
         "page_id long, url string, payload_bytes long, payload_digest string, "

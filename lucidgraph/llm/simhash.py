@@ -208,7 +208,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         return _sent(rows, key[0].as_py(), change, buckets)
 
     sent = grouped.applyInArrow(send, "bucket int, grp int, prints binary")
-    told = sent.groupBy("bucket").applyInArrow(_told, "grp int, prints binary")
+    told = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_told, "grp int, prints binary")
     meeting = grouped.cogroup(told.repartition(groups, "grp").groupBy("grp")).applyInArrow(
         lambda rows, side: _meeting(rows, side, change, buckets),
         "bucket int, variants binary, owners binary",

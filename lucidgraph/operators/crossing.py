@@ -18,7 +18,7 @@ from ..functions.geometry import acute_angle
 from ..functions.hinges import deviation_totals, kinks
 from ..plans import cells as C
 from ..plans import dominance as D
-from ..plans.ranks import dense_ranks
+from ..plans.ranks import dense_ranks, in_ranges
 from ..session import materialize
 from .messages import BY, zero_filled
 from .strips import cut_into_strips, distinct_lines, strip_segments
@@ -41,8 +41,8 @@ def edge_crossing_by_strip(
     """``by, part, crossings`` for every strip that holds a segment.
 
     ``plan="chunked"`` counts each strip in one group while strips are small
-    and in chunks beyond that; ``plan="bitwise"`` uses window functions only, which
-    sort a strip in one task (spilling to disk if they must) and never leave the JVM.
+    and in chunks beyond that; ``plan="bitwise"`` uses window functions only, on
+    cuts of a strip, and never leaves the JVM.
     """
     by = list(by)
     lines = distinct_lines(layout, edges, by)
@@ -70,36 +70,52 @@ def _bitwise(pieces: DataFrame, key: list[str]) -> DataFrame:
     The ranks of a pair by right height differ in one highest bit.  Among rows
     with equal higher bits, taken in order of left height, the pair is inverted
     if the earlier row has that bit and the later one has not.
+
+    Rows are cut by ranges of left height.  Inside a cut a running sum tells what came
+    before; the sums of whole cuts, few rows each, are carried from one to the next.  So
+    no task sorts a strip, however many segments it holds.
     """
-    strip = Window.partitionBy(*key)
     # identical pieces do not cross: fold them, so that no tie is left to chance
     folded = pieces.groupBy(*key, "ly", "ry").agg(F.sum("w").alias("w"))
-    ranked = folded.select(
-        *key,
-        "w",
-        F.row_number().over(strip.orderBy("ly", "ry")).alias("lr"),
-        (F.row_number().over(strip.orderBy("ry", "ly")) - 1).cast("bigint").alias("rr"),
-        F.count("*").over(strip).alias("n"),
-    )
-    bits = F.length(F.bin(F.col("n") - 1))
-    levels = ranked.select(
-        "*", F.explode(F.sequence(F.lit(0), bits - 1)).alias("level")
-    ).select(
-        *key,
-        "w",
-        "lr",
-        "level",
-        F.expr("shiftright(rr, level + 1)").alias("prefix"),
-        F.expr("shiftright(rr, level) & 1").alias("high"),
+    ranked = dense_ranks(folded, key, ["ry", "ly"], "rr")
+    placed = in_ranges(ranked, key, ["ly", "ry"], "cut")
+    sizes = placed.groupBy(*key).agg(F.length(F.bin(F.max("rr"))).alias("bits"))
+    levels = (
+        placed.join(sizes, key)
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("level"))
+        .select(
+            *key,
+            "cut",
+            "ly",
+            "ry",
+            "w",
+            "level",
+            F.expr("shiftright(rr, level + 1)").alias("prefix"),
+            F.expr("shiftright(rr, level) & 1").alias("high"),
+        )
     )
+    group = [*key, "level", "prefix"]
     before = (
-        Window.partitionBy(*key, "level", "prefix")
-        .orderBy("lr")
+        Window.partitionBy(*group, "cut")
+        .orderBy("ly", "ry")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    seen = F.coalesce(F.sum(F.col("w") * F.col("high")).over(before), F.lit(0))
+    low = F.col("high") == 0
+    inside = F.when(low, F.col("w") * F.coalesce(F.sum(F.col("w") * F.col("high")).over(before), F.lit(0)))
+    per_cut = (
+        levels.withColumn("inside", inside)
+        .groupBy(*group, "cut")
+        .agg(
+            F.coalesce(F.sum("inside"), F.lit(0)).alias("inside"),
+            F.sum(F.col("w") * F.col("high")).alias("ones"),
+            F.sum(F.when(low, F.col("w")).otherwise(0)).alias("zeros"),
+        )
+    )
+    # of a group there is a row for each cut
+    carried = Window.partitionBy(*group).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("ones").over(carried), F.lit(0))
     return (
-        levels.select(*key, F.when(F.col("high") == 0, F.col("w") * seen).otherwise(0).alias("n"))
+        per_cut.select(*key, (F.col("inside") + F.col("zeros") * ahead).alias("n"))
         .groupBy(*key)
         .agg(F.sum("n").alias("crossings"))
     )

@@ -1,18 +1,19 @@
 """Crowds, ties, hubs and many trials: what small random graphs do not show."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lucidgraph.operators import search
 from lucidgraph.operators.angles import vertex_angles
-from lucidgraph.operators.crossing import crossing_pairs
+from lucidgraph.operators.crossing import crossing_pairs, edge_crossing_by_strip
 from lucidgraph.operators.layout import force_layouts
 from lucidgraph.operators.occlusion import node_occlusion, occluded_pairs
 from lucidgraph.operators.progress import read_log, trial_progress
 from lucidgraph.plans import cells
-from lucidgraph.plans.ranks import dense_ranks
+from lucidgraph.plans.ranks import dense_ranks, in_ranges
 from lucidgraph.sources import read_trials, vertices_of
 
 from .conftest import value
@@ -109,3 +110,24 @@ def test_a_search_goes_on_where_it_stopped(make, spark, tmp_path):
     assert {r.id for r in layout} == set("abcd") and {r.trial for r in layout} == {best}
     status = trial_progress(read_log(spark, path), 4).head()
     assert (status.trial, status.stage, status.layout_percent) == (3, "drawing", 100)
+
+
+def test_one_strip_is_sorted_in_parts(make, spark):
+    """All segments in one strip: several cuts, a carried sum and no window over the strip."""
+    rng = random.Random(12)
+    positions = {f"l{i}": (0.0, float(rng.randrange(40))) for i in range(120)}
+    positions |= {f"r{i}": (1.0, float(rng.randrange(40))) for i in range(120)}
+    edges, layout = make(positions, [(f"l{rng.randrange(120)}", f"r{rng.randrange(120)}") for _ in range(400)])
+    pairs = [(positions[r.src][1], positions[r.dst][1]) for r in edges.collect()]
+    want = sum(a[0] < b[0] and a[1] > b[1] for a in pairs for b in pairs)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        rows = spark.createDataFrame(pairs, "ly double, ry double").selectExpr("0 AS part", "*", "1 AS w")
+        assert in_ranges(rows, ["part"], ["ly", "ry"], "cut").select("cut").distinct().count() >= 4
+        found = edge_crossing_by_strip(layout, edges, 1.0, plan="bitwise").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert [(r.part, r.crossings) for r in found] == [(0, want)]

@@ -24,9 +24,12 @@ from .messages import BY, zero_filled
 from .strips import cut_into_strips, distinct_lines, strip_segments
 
 
-def lines_per_layout(lines: DataFrame, by: Sequence[str]) -> int:
-    """Most lines of any layout; no strip of it can hold more."""
-    return D.largest_group(lines, by)[0]
+def lines_per_layout(
+    lines: DataFrame, edges: DataFrame, by: Sequence[str], max_rows: int = D.MAX_GROUP_ROWS
+) -> int:
+    """A bound for the lines of any layout, and so of any strip: few edges, or the lines themselves."""
+    total = edges.count()
+    return total if total <= max_rows else D.largest_group(lines, by)[0]
 
 
 def edge_crossing_by_strip(
@@ -51,7 +54,7 @@ def edge_crossing_by_strip(
         return _bitwise(pieces, [*by, "part"])
     if plan != "chunked":
         raise ValueError(f"unknown plan {plan!r}")
-    bound = lines_per_layout(lines, by)
+    bound = lines_per_layout(lines, edges, by, max_rows)
     rows = pieces.select(*by, "part", "ly", "ry", F.col("w").alias("wa"), F.col("w").alias("wb"))
     return D.inverted_totals(
         rows,
@@ -219,7 +222,7 @@ def edge_crossing_angle(
     aim = math.radians(ideal)
     lines = distinct_lines(layout, edges, by)
     pieces = cut_into_strips(lines, g)
-    small = lines_per_layout(lines, by) <= max_rows
+    small = lines_per_layout(lines, edges, by, max_rows) <= max_rows
     if small or D.largest_group(pieces, key)[0] <= max_rows:
         totals = _angles_per_strip(pieces, key, aim)
     else:

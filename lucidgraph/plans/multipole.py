@@ -22,6 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +34,34 @@ from .dominance import key_fields
 ORDER = 44
 # the first level whose cells are paired with all others: at most 64 per layout
 START_LEVEL = 3
-_TERMS = [f"c{i}" for i in range(2 * ORDER)]
-_DOUBLES = ", ".join(f"{c} double" for c in _TERMS)
+# an expansion is one value, its complex terms as bytes: a plan with a column for each
+# term takes longer to compile than to run
+_TERMS = "terms"
+_BYTES = 16 * ORDER
 
 
-def _complex(batch, names: Sequence[str]) -> np.ndarray:
-    flat = np.column_stack([batch.column(c).to_numpy() for c in names])
-    return flat[:, :ORDER] + 1j * flat[:, ORDER:]
+def _complex(batch) -> np.ndarray:
+    data = b"".join(batch.column(_TERMS).to_pylist())
+    return np.frombuffer(data, complex).reshape(-1, ORDER)
 
 
-def _as_columns(values: np.ndarray) -> list[pa.Array]:
-    return [pa.array(np.ascontiguousarray(part)) for part in (*values.real.T, *values.imag.T)]
+def _as_bytes(values: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * _BYTES
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]
+    return pa.Array.from_buffers(pa.binary(), len(values), buffers)
+
+
+def _folded(keys: list[pa.Array], values: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """A row for each key of a batch, with the sum of its expansions."""
+    codes = [k.dictionary_encode().indices.to_numpy() for k in keys]
+    _, first, group = np.unique(np.stack(codes), axis=1, return_index=True, return_inverse=True)
+    order = np.argsort(group.reshape(-1), kind="stable")
+    starts = np.searchsorted(group.reshape(-1)[order], np.arange(len(first)))
+    sums = np.add.reduceat(values[order], starts, axis=0)
+    rows = pa.array(first)
+    return pa.RecordBatch.from_arrays(
+        [*[k.take(rows) for k in keys], _as_bytes(sums)], names=[*names, _TERMS]
+    )
 
 
 def _powers(z: np.ndarray) -> np.ndarray:
@@ -63,35 +81,59 @@ def _offset(batch, level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sums(df: DataFrame, key: list[str]) -> DataFrame:
-    return df.groupBy(*key).agg(*[F.sum(c).alias(c) for c in _TERMS])
+    """The sum of the expansions of each cell."""
+
+    def add(batches):
+        # rows of a cell are adjacent; the last cell of a batch may go on in the next one
+        last, carried = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c) for c in key]
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for c in columns:
+                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            sums = np.add.reduceat(_complex(batch), starts, axis=0)
+            rows = [tuple(c[int(i)] for c in columns) for i in (starts[0], starts[-1])]
+            if last is not None and tuple(v.as_py() for v in rows[0]) == tuple(v.as_py() for v in last):
+                sums[0] += carried
+            elif last is not None:
+                yield one(last, carried)
+            if len(starts) > 1:
+                done = pa.array(starts[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.take(done) for c in columns], _as_bytes(sums[:-1])], names=[*key, _TERMS]
+                )
+            last, carried = rows[1], sums[-1]
+        if last is not None:
+            yield one(last, carried)
+
+    def one(values, total):
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array([v.as_py()], v.type) for v in values], _as_bytes(total[None])], names=[*key, _TERMS]
+        )
+
+    rows = df.select(*key, _TERMS).repartition(*key).sortWithinPartitions(*key)
+    return rows.mapInArrow(add, f"{key_fields(df, key)}, {_TERMS} binary")
 
 
 def _leaf_moments(points: DataFrame, by: list[str]) -> DataFrame:
-    """``by, level, cx, cy, c*``: moments of the cells that the points are leaves of."""
+    """``by, level, cx, cy, terms``: moments of the cells that the points are leaves of."""
     key = [*by, "level", "cx", "cy"]
 
     def moments(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes = [batch.column(c).dictionary_encode().indices.to_numpy() for c in key]
             w = batch.column("w").to_numpy()
             _, _, z = _offset(batch, batch.column("level").to_numpy().astype(float))
-            _, first, group = np.unique(
-                np.stack(codes), axis=1, return_index=True, return_inverse=True
-            )
-            order = np.argsort(group.reshape(-1), kind="stable")
-            starts = np.searchsorted(group.reshape(-1)[order], np.arange(len(first)))
-            sums = np.add.reduceat((_powers(z) * w[:, None])[order], starts, axis=0)
-            rows = pa.array(first)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(rows) for c in key], *_as_columns(sums)],
-                names=[*key, *_TERMS],
-            )
+            yield _folded([batch.column(c) for c in key], _powers(z) * w[:, None], key)
 
     # neighbours arrive together, so a batch folds into few cells before it moves
     near = points.repartitionByRange(*key, "u", "v").sortWithinPartitions(*key)
-    return _sums(near.mapInArrow(moments, f"{key_fields(points, key)}, {_DOUBLES}"), key)
+    return _sums(near.mapInArrow(moments, f"{key_fields(points, key)}, {_TERMS} binary"), key)
 
 
 def _quadrants() -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +168,7 @@ def _translated(expansions: DataFrame, by: list[str], upward: bool) -> DataFrame
                 for c in (("cx", "cy") if upward else ("child_x", "child_y"))
             )
             quadrant = (x & 1) + 2 * (y & 1)
-            values = _complex(batch, _TERMS)
+            values = _complex(batch)
             out = np.empty_like(values)
             for q in range(4):
                 rows = quadrant == q
@@ -138,12 +180,12 @@ def _translated(expansions: DataFrame, by: list[str], upward: bool) -> DataFrame
                     *[batch.column(c) for c in by],
                     pa.array(level.astype(np.int32)),
                     *map(pa.array, place),
-                    *_as_columns(out),
+                    _as_bytes(out),
                 ],
-                names=[*key, *_TERMS],
+                names=[*key, _TERMS],
             )
 
-    schema = f"{key_fields(expansions, key)}, {_DOUBLES}"
+    schema = f"{key_fields(expansions, key)}, {_TERMS} binary"
     return _sums(expansions.mapInArrow(translate, schema), key)
 
 
@@ -211,7 +253,7 @@ def _leaf_fields(
 
 
 def _local_expansions(far: DataFrame, moments: DataFrame, by: list[str]) -> DataFrame:
-    """``by, level, cx, cy, c*``: the field of all distant cells around a cell."""
+    """``by, level, cx, cy, terms``: the field of all distant cells around a cell."""
     key = [*by, "level", "cx", "cy"]
     pascal = np.array([[float(comb(m + n, n)) for n in range(ORDER)] for m in range(ORDER)])
     signs = -((-1.0) ** np.arange(ORDER))
@@ -222,12 +264,10 @@ def _local_expansions(far: DataFrame, moments: DataFrame, by: list[str]) -> Data
                 continue
             step = 1.0 / (batch.column("dx").to_numpy() + 1j * batch.column("dy").to_numpy())
             power = _powers(step)
-            source = _complex(batch, _TERMS) * (signs * power * step[:, None])
+            source = _complex(batch) * (signs * power * step[:, None])
             # two real products: the binomials are real
             local = ((source.real @ pascal) + 1j * (source.imag @ pascal)) * power
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in key], *_as_columns(local)], names=[*key, *_TERMS]
-            )
+            yield _folded([batch.column(c) for c in key], local, key)
 
     pairs = far.select(
         *by,
@@ -237,8 +277,8 @@ def _local_expansions(far: DataFrame, moments: DataFrame, by: list[str]) -> Data
         F.col("qx").alias("cx"),
         F.col("qy").alias("cy"),
     )
-    schema = f"{key_fields(moments, key)}, {_DOUBLES}"
-    return (
+    schema = f"{key_fields(moments, key)}, {_TERMS} binary"
+    return _sums(
         pairs.join(moments.hint("merge"), key)
         .select(
             *by,
@@ -247,11 +287,10 @@ def _local_expansions(far: DataFrame, moments: DataFrame, by: list[str]) -> Data
             F.col("py").alias("cy"),
             (F.col("cx") - F.col("px")).cast("double").alias("dx"),
             (F.col("cy") - F.col("py")).cast("double").alias("dy"),
-            *_TERMS,
+            _TERMS,
         )
-        .mapInArrow(translate, schema)
-        .groupBy(*key)
-        .agg(*[F.sum(c).alias(c) for c in _TERMS])
+        .mapInArrow(translate, schema),
+        key,
     )
 
 
@@ -326,7 +365,7 @@ def _evaluate(points: DataFrame, local: DataFrame, by: list[str]) -> DataFrame:
                 continue
             level = batch.column("level").to_numpy().astype(float)
             _, _, z = _offset(batch, level)
-            total = np.sum(_complex(batch, _TERMS) * _powers(z), axis=1)
+            total = np.sum(_complex(batch) * _powers(z), axis=1)
             total *= np.exp2(level) / batch.column("side").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -340,7 +379,7 @@ def _evaluate(points: DataFrame, local: DataFrame, by: list[str]) -> DataFrame:
     schema = f"{key_fields(points, by)}, x double, y double, fx double, fy double"
     return (
         points.join(local.hint("merge"), [*by, "level", "cx", "cy"])
-        .select(*by, "x", "y", "u", "v", "side", "level", *_TERMS)
+        .select(*by, "x", "y", "u", "v", "side", "level", _TERMS)
         .mapInArrow(field, schema)
     )
 

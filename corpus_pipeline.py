@@ -38,7 +38,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of smallest id of each component of similar texts; of equal or no ids, one row."""
     row = free_name(docs, "row")
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    # in the order of ids, so that it does not matter how the files lie
+    order = ["doc_id", F.xxhash64("text")]
+    sorted_ = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = stored(sorted_.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = jaccard.join(numbered.select(F.col(row).alias("doc_id"), "text"))
     members = found.select(F.col("doc_id").alias(row), "component_id").join(
         numbered.select(row, F.col("doc_id").alias("id")), row

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from lucidgraph.functions.closeness import close_pairs
 from lucidgraph.functions.hinges import deviation_totals
 from lucidgraph.functions.inversions import inverted_pairs
 
@@ -51,3 +52,21 @@ def test_deviation_totals(n, ideal):
     got = deviation_totals(ly, ry, theta, w, aim)
     assert got[0] == count
     assert got[1] == pytest.approx(total, abs=1e-8)
+
+
+@pytest.mark.parametrize("n, m", [(0, 5), (1, 1), (40, 3), (900, 700)])
+@pytest.mark.parametrize("limit", [0.0, 0.02, 0.5, 30.0])
+@pytest.mark.parametrize("heavy", [1, 4])
+def test_close_pairs(n, m, limit, heavy):
+    rng = np.random.default_rng(n + m)
+    # a crowd, points on a lattice whose distances tie with the limit, and one at infinity
+    p = (rng.integers(0, 8, n) / 4, rng.random(n) ** 4, rng.integers(1, heavy + 1, n))
+    q = (rng.integers(0, 8, m) / 4 + 0.5, rng.random(m), rng.integers(1, heavy + 1, m))
+    p[0][:1] = np.inf
+
+    def close(a, b):
+        with np.errstate(invalid="ignore"):
+            return (a[0][:, None] - b[0]) ** 2 + (a[1][:, None] - b[1]) ** 2 < limit
+
+    assert close_pairs(p, q, limit) == p[2] @ close(p, q) @ q[2]
+    assert close_pairs(p, None, limit) == p[2] @ np.triu(close(p, p), 1) @ p[2]

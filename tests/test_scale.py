@@ -131,3 +131,32 @@ def test_one_strip_is_sorted_in_parts(make, spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
         spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert [(r.part, r.crossings) for r in found] == [(0, want)]
+
+
+@pytest.mark.parametrize("rows", [0, 60, 10**6])
+def test_points_of_crowded_cells_are_not_joined_in_pairs(make, monkeypatch, rows):
+    """Crowds meet as rows of points; cells beyond what a task may hold are split before."""
+    monkeypatch.setattr(cells, "PAIR_BUDGET", 16)
+    monkeypatch.setattr(cells, "KERNEL_ROWS", rows)
+    joined, point_pairs = [], cells.point_pairs
+
+    def spy(points, pairs, level, by):
+        found = point_pairs(points, pairs, level, by)
+        joined.append(found.groupBy(*by, "px", "py", "qx", "qy").count())
+        return found
+
+    monkeypatch.setattr(cells, "point_pairs", spy)
+    rng = random.Random(3)
+    positions = {f"a{i}": (rng.random() * 4, rng.random() * 4) for i in range(220)}
+    positions |= {f"b{i}": (1.5, 1.5) for i in range(5)}
+    _, layout = make(positions, [], trials=(0, 3))
+    points = list(positions.values())
+    want = sum(
+        (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 < 4.0 for i, a in enumerate(points) for b in points[i + 1 :]
+    )
+    found = node_occlusion(layout, 1.0).collect()
+    assert [(r.trial, r.node_occlusion) for r in sorted(found)] == [(0, want), (3, want)]
+    assert joined and all(r["count"] <= 16 for df in joined for r in df.collect())
+    if rows == 10**6:
+        # no level beyond the first: nothing was split, so nothing was joined over again
+        assert len(joined) == 1

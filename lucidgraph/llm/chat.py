@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import added, map_batches
+from .frames import added, map_batches, without
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"
@@ -160,7 +160,7 @@ def canonical(
     df: DataFrame, record: str, mappings=MAPPINGS, turns: str = "turns", layout: str = "layout"
 ) -> DataFrame:
     """``df`` with the record's ``turns`` and the name of its ``layout`` (replaced if there)."""
-    kept, layouts = df.drop(turns, layout), Layouts(mappings)
+    kept, layouts = without(df, turns, layout), Layouts(mappings)
     kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def mapped(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -213,7 +213,7 @@ def formatted(
     df: DataFrame, turns: str = "turns", text: str = "formatted", loss: str = "loss"
 ) -> DataFrame:
     """``df`` with the ``formatted`` text and its ``loss`` spans; null turns give nulls."""
-    kept = df.drop(text, loss)
+    kept = without(df, text, loss)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def rendered(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -243,7 +243,7 @@ def read_back(
     trained: str = "loss_text",
 ) -> DataFrame:
     """``df`` with the turns of the formatted text and all text under its loss mask, unescaped."""
-    kept = df.drop(turns, trained)
+    kept = without(df, turns, trained)
     kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:

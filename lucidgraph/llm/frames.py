@@ -54,15 +54,31 @@ def free_name(df: DataFrame, stem: str) -> str:
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema
 ) -> DataFrame:
-    """``function`` on every Arrow batch, cut so that no slice holds many large values."""
+    """``function`` on every Arrow batch, cut so that no slice holds many large values.
+
+    Calls that follow each other directly run one after the other in one Python worker.
+    """
+    source, steps = vars(df).get("_mapped", (df, ()))
+    steps = (*steps, function)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes)))
             for start in range(0, batch.num_rows, rows):
-                yield function(batch.slice(start, rows))
+                part = batch.slice(start, rows)
+                for step in steps:
+                    part = step(part)
+                yield part
+
+    out = source.mapInArrow(run, schema)
+    out._mapped = (source, steps)
+    return out
+
 
-    return df.mapInArrow(run, schema)
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without these columns; ``df`` itself if it has none of them."""
+    gone = {name.lower() for name in names}
+    return df.drop(*names) if any(c.lower() in gone for c in df.columns) else df
 
 
 def added(df: DataFrame, **columns: str) -> StructType:

@@ -430,3 +430,15 @@ def test_langid_rows_made_at_once_or_not(monkeypatch):
     monkeypatch.setattr(langid, "_CACHE_CELLS", 4)
     scorer = langid._Scorer(model)
     assert scorer.dense is None and [scorer.total(t.split()).tolist() for t in texts] == at_once
+
+
+def test_chat_steps_share_one_worker(spark):
+    """Three steps, one Python worker a task; a column in the way is still replaced."""
+    rows = spark.createDataFrame([(1, 0, "user", "a<|b"), (1, 1, "assistant", "c")], "conv_id long, turn long, role string, text string")
+    turned = chat.canonical(chat.records(rows), "record")
+    back = chat.read_back(chat.formatted(turned))
+    assert back._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    stale = turned.withColumn("formatted", F.lit("old"))
+    want = [(r.formatted, r.loss_text, r.read_turns) for r in back.collect()]
+    assert [(r.formatted, r.loss_text, r.read_turns) for r in chat.read_back(chat.formatted(stale)).collect()] == want
+    assert want[0][1] == "c" and [tuple(t) for t in want[0][2]] == [("user", "a<|b"), ("assistant", "c")]

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from lucidgraph.operators import search
 from lucidgraph.operators.angles import vertex_angles
 from lucidgraph.operators.crossing import crossing_pairs, edge_crossing_by_strip
-from lucidgraph.operators.layout import force_layouts
+from lucidgraph.operators.layout import force_layouts, repulsive_forces
 from lucidgraph.operators.occlusion import node_occlusion, occluded_pairs
 from lucidgraph.operators.progress import read_log, trial_progress
-from lucidgraph.plans import cells
+from lucidgraph.plans import cells, multipole
 from lucidgraph.plans.ranks import dense_ranks, in_ranges
 from lucidgraph.sources import read_trials, vertices_of
 
@@ -160,3 +160,29 @@ def test_points_of_crowded_cells_are_not_joined_in_pairs(make, monkeypatch, rows
     if rows == 10**6:
         # no level beyond the first: nothing was split, so nothing was joined over again
         assert len(joined) == 1
+
+
+def test_tables_of_the_repulsion_do_not_grow_with_the_levels(make, monkeypatch):
+    """Points are written as packets of a leaf, and no level has tables of its own."""
+    rng = random.Random(8)
+    positions = {f"s{i}": (rng.random(), rng.random()) for i in range(300)}
+    positions |= {f"c{i}": (0.7 + rng.random() / 100, 0.2 + rng.random() / 100) for i in range(300)}
+    _, layout = make(positions, [])
+    written, materialize = [], multipole.materialize
+
+    def spy(df):
+        written.append(materialize(df))
+        return written[-1]
+
+    monkeypatch.setattr(multipole, "materialize", spy)
+    counts = []
+    for budget in (10**6, 256):
+        monkeypatch.setattr(cells, "PAIR_BUDGET", budget)
+        assert repulsive_forces(layout, 1.0).count() == 600
+        counts.append(len(written))
+        leaves, packets = written[-2:]
+        assert packets.count() == leaves.where("level = leaf").count() < 150
+        written.clear()
+    assert counts[0] == counts[1]
+    # the crowd lies deeper than the level that all cells begin at
+    assert leaves.agg(F.max("leaf")).head()[0] > multipole.START_LEVEL

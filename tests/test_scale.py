@@ -126,11 +126,19 @@ def test_one_strip_is_sorted_in_parts(make, spark):
     try:
         rows = spark.createDataFrame(pairs, "ly double, ry double").selectExpr("0 AS part", "*", "1 AS w")
         assert in_ranges(rows, ["part"], ["ly", "ry"], "cut").select("cut").distinct().count() >= 4
-        found = edge_crossing_by_strip(layout, edges, 1.0, plan="bitwise").collect()
+        found = edge_crossing_by_strip(layout, edges, 1.0, plan="bitwise")
+        lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        found = found.collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
         spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert [(r.part, r.crossings) for r in found] == [(0, want)]
+    # the rows of each level come from cuts of the strip, not from one task for all of it
+    dealt = [
+        next(below for below in lines[i:] if " Exchange " in below)
+        for i, line in enumerate(lines) if " Generate " in line
+    ]
+    assert sum("left_cut" in line for line in dealt) == sum("right_cut" in line for line in dealt) == 1
 
 
 @pytest.mark.parametrize("rows", [0, 60, 10**6])

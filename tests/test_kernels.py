@@ -1,10 +1,12 @@
 """The numpy kernels against their definitions."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 
+from lucidgraph.functions import inversions
 from lucidgraph.functions.closeness import close_pairs
 from lucidgraph.functions.hinges import deviation_totals
 from lucidgraph.functions.inversions import inverted_pairs
@@ -54,6 +56,41 @@ def test_deviation_totals(n, ideal):
     assert got[1] == pytest.approx(total, abs=1e-8)
 
 
+def _segments(n):
+    rng = np.random.default_rng(n)
+    ly = rng.random(n) * 100
+    theta = rng.random(n) * 3 - 1.5
+    return ly, ly + np.tan(theta), theta, rng.integers(1, 3, n)
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 64])
+def test_totals_do_not_depend_on_blocks(monkeypatch, block):
+    ly, ry, theta, w = _segments(300)
+    ly[::5] = ly[0]  # ties
+    whole = deviation_totals(ly, ry, theta, w, 1.2), inverted_pairs([ly], [ry], w, w, w * ly, w * ry)
+    count = inverted_pairs([ly], [ry], np.ones(300, int), np.ones(300, int))[0].tolist()
+    monkeypatch.setattr(inversions, "BLOCK", block)
+    crossings, deviation = deviation_totals(ly, ry, theta, w, 1.2)
+    assert (crossings, deviation) == (whole[0][0], pytest.approx(whole[0][1], rel=1e-10))
+    got = inverted_pairs([ly], [ry], w, w, w * ly, w * ry)
+    assert got[0].tolist() == whole[1][0].tolist()
+    assert np.allclose(got[1], whole[1][1]) and np.allclose(got[2], whole[1][2])
+    assert inverted_pairs([ly], [ry], np.ones(300, int), np.ones(300, int))[0].tolist() == count
+
+
+def test_angles_of_a_strip_take_few_bytes_a_segment():
+    n = 300_000
+    columns = _segments(n)
+    tracemalloc.start()
+    try:
+        deviation_totals(*columns, math.radians(70))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # the columns in another order are 32 of them
+    assert peak < 160 * n
+
+
 @pytest.mark.parametrize("n, m", [(0, 5), (1, 1), (40, 3), (900, 700)])
 @pytest.mark.parametrize("limit", [0.0, 0.02, 0.5, 30.0])
 @pytest.mark.parametrize("heavy", [1, 4])

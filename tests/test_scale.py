@@ -194,3 +194,30 @@ def test_tables_of_the_repulsion_do_not_grow_with_the_levels(make, monkeypatch):
     assert counts[0] == counts[1]
     # the crowd lies deeper than the level that all cells begin at
     assert leaves.agg(F.max("leaf")).head()[0] > multipole.START_LEVEL
+
+
+def test_points_move_to_crowded_cells_in_batches(make, monkeypatch):
+    """However many pairs of cells there are, so many points move at a time, and then their files go."""
+    monkeypatch.setattr(cells, "PAIR_BUDGET", 16)
+    monkeypatch.setattr(cells, "KERNEL_ROWS", 60)
+    monkeypatch.setattr(cells, "MOVED_ROWS", 500)
+    moved, kept, materialize = [], [], cells.materialize
+    measured = cells._measured
+
+    def spy(points, pairs, level, by, *rest):
+        moved.append(pairs.count())
+        return measured(points, pairs, level, by, *rest)
+
+    monkeypatch.setattr(cells, "_measured", spy)
+    monkeypatch.setattr(cells, "materialize", lambda df: kept.append(df) or materialize(df))
+    rng = random.Random(3)
+    positions = {f"a{i}": (rng.random() * 4, rng.random() * 4) for i in range(220)}
+    _, layout = make(positions, [], trials=(0, 3))
+    points = list(positions.values())
+    want = sum(
+        (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 < 4.0 for i, a in enumerate(points) for b in points[i + 1 :]
+    )
+    found = node_occlusion(layout, 1.0).collect()
+    assert [(r.trial, r.node_occlusion) for r in sorted(found)] == [(0, want), (3, want)]
+    assert len(moved) > 3 and max(moved) < sum(moved) / 2
+    assert sum("n" in df.columns for df in kept) == len(moved)
